@@ -36,6 +36,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm.common import crc_fold, pick
 
@@ -246,8 +247,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", tex
     return Model(langs, table[:TABLE], table[TABLE:])
 
 
-def label_documents(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, spans (array of first, after, lang: word numbers) of every row."""
+def label_documents(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score, spans (array of first, after, lang: word numbers) of every row.
+
+    carry: further columns of the result, from which columns of the input.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # its size is fixed by TABLE and the languages
     key = uuid.uuid4().hex
 
@@ -261,11 +265,14 @@ def label_documents(docs: DataFrame, model: Model, penalty: float = PENALTY, id_
                 part = batch.slice(at, 1000)
                 found = labeller.label([t or "" for t in part["text"].to_pylist()], penalty)
                 spans = pa.array([[{"first": a, "after": b, "lang": x} for a, b, x in s] for _, _, s in found], span)
-                yield pa.record_batch([part["doc_id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], names=["doc_id", "lang_pred", "score", "spans"])
-
-    own = pick(docs, doc_id=id_col, text=text_col)
-    kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<first: int, after: int, lang: string>>")
+                made = [part["doc_id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans]
+                yield pa.record_batch([*made, *[part[c] for c in others]], names=["doc_id", "lang_pred", "score", "spans", *others])
+
+    own = pick(docs, doc_id=id_col, text=text_col, **(carry or {}))
+    others = own.columns[2:]
+    shape = "lang_pred string, score double, spans array<struct<first: int, after: int, lang: string>>"
+    schema = T.StructType([own.schema["doc_id"], *T.StructType.fromDDL(shape).fields, *[own.schema[c] for c in others]])
+    return own.mapInArrow(run, schema)
 
 
 def held_out(docs: DataFrame, folds: int = 5, id_col: str = "doc_id") -> DataFrame:

@@ -48,15 +48,14 @@ def word_array(text: Column) -> Column:
     return F.when(F.coalesce(inner, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper."""
-    one = pick(docs, doc_id=id_col, text=text_col, lang=lang_col, source=source_col).withColumn("text", F.coalesce("text", F.lit("")))
-    one = one.select("doc_id", "lang", "source", "text", word_array(F.col("text")).alias("words"))
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, lang, source, the carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper."""
+    own = ["doc_id", "lang", "source", *(carry or {})]
+    one = pick(docs, doc_id=id_col, text=text_col, lang=lang_col, source=source_col, **(carry or {})).withColumn("text", F.coalesce("text", F.lit("")))
+    one = one.select(*own, "text", word_array(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     one = one.select(
-        "doc_id",
-        "lang",
-        "source",
+        *own,
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -142,9 +141,9 @@ def _distance(dims: list[str], one_sided: bool) -> list[tuple[str, Column]]:
     return steps
 
 
-def _measured(rows: DataFrame, shape: DataFrame, dims: list[str], one_sided: bool = False) -> DataFrame:
+def _measured(rows: DataFrame, shape: DataFrame, dims: list[str]) -> DataFrame:
     out = rows.join(shape, "g")
-    for name, value in _distance(dims, one_sided):
+    for name, value in _distance(dims, one_sided=False):
         out = out.withColumn(name, value)
     return out.select(*rows.columns, "d2")
 
@@ -166,18 +165,44 @@ def outlier_shapes(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> D
     return shape.join(scale, "g")
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The statistics of every row, base_failed, distance (null if the base rules failed) and kept."""
-    spark = docs.sparkSession
-    table = vectors(statistics(docs, id_col, text_col, lang_col, source_col)).withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")), "g_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "base_failed": base_failed()})
-    table = written(table, scratch(spark, "statistics"))
+def _keyed(stats: DataFrame) -> DataFrame:
+    """The statistics with the vector, the base verdict and null-safe group columns."""
+
+    def named(c: str) -> Column:
+        return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+    return vectors(stats).withColumns({"g_lang": named("lang"), "g_source": named("source"), "base_failed": base_failed()})
+
+
+def _fitted(table: DataFrame, least_rows: int) -> DataFrame:
+    """g_lang, g_source with the location, Cholesky factor and scale that judge them: a row for each language and source."""
+    spark = table.sparkSession
     sound = table.where(~F.col("base_failed"))
     groups = written(_groups(sound, least_rows), scratch(spark, "groups"))
     rows = sound.join(groups, ["g_lang", "g_source"]).select("g", *VECTOR)
     shape = written(outlier_shapes(rows), scratch(spark, "shape"))
-    judged = sound.join(groups, ["g_lang", "g_source"])
-    kept = _measured(judged, shape.drop("scale"), list(VECTOR), one_sided=True).join(shape.select("g", "scale"), "g")
-    kept = kept.withColumn("distance", F.sqrt(F.col("d2") / F.col("scale"))).withColumn("kept", F.col("d2") <= cutoff * F.col("scale"))
-    columns = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    failed = table.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
-    return kept.select(*columns, "distance", "kept").unionByName(failed)
+    return groups.join(shape, "g").drop("g")
+
+
+def _judged(table: DataFrame, fitted: DataFrame, cutoff: float) -> DataFrame:
+    """The table with distance and kept."""
+    out = table.join(fitted, ["g_lang", "g_source"], "left")  # groups whose rows all fail the base rules have no shape
+    for name, value in _distance(list(VECTOR), one_sided=True):
+        out = out.withColumn(name, value)
+    distance = F.when(~F.col("base_failed"), F.sqrt(F.col("d2") / F.col("scale")))
+    return out.select(*table.columns, distance.alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff * F.col("scale"), F.lit(False))).alias("kept"))
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The statistics of every row, base_failed, distance (null if the base rules failed) and kept."""
+    table = written(_keyed(statistics(docs, id_col, text_col, lang_col, source_col)), scratch(docs.sparkSession, "statistics"))
+    found = _judged(table, _fitted(table, least_rows), cutoff)
+    return found.drop("g_lang", "g_source", *VECTOR)
+
+
+def keep_sound(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents that judge keeps, all columns as they are. The texts are read and written once and not shuffled."""
+    carry = {f"__c{i}": c for i, c in enumerate(docs.columns)}
+    table = written(_keyed(statistics(docs, id_col, text_col, lang_col, source_col, carry)), scratch(docs.sparkSession, "statistics"))
+    found = _judged(table, _fitted(table.drop(*carry), least_rows), cutoff)
+    return found.where("kept").select(*[F.col(k).alias(c) for k, c in carry.items()])

@@ -36,6 +36,7 @@ and not earlier than each other. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -43,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm.common import freed_shuffles, parts, pick, scratch, text_bytes
 
@@ -60,6 +62,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multipliers; any would do.
 _P, _MIX, _R1, _R2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _S = np.uint64(29)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _inverse(x: int) -> int:
@@ -200,6 +203,17 @@ def _ordered(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _without(text: bytes, gone: np.ndarray) -> bytes:
+    """The text less the words that are gone and the space before each of them."""
+    out, end = [], 0
+    for word, drop in zip(_WORD.finditer(text), gone.tolist(), strict=True):
+        if not drop:
+            out.append(text[end : word.end()])
+        end = word.end()
+    out.append(text[end:])
+    return b"".join(out)
+
+
 def _narrow(values: np.ndarray) -> bytes:
     """Whole numbers in as many bytes each as the largest needs; the first byte tells how many."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
@@ -256,10 +270,11 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
         self.runs = []
 
-    def add(self, batch: DataFrame, chunks: int, base: int = 0) -> DataFrame:
-        """Takes a batch (doc_id, text) in; doc_id, n_words, n_removed, kept (binary) of each row.
+    def add(self, batch: DataFrame, chunks: int, base: int = 0, spaces: bool = False) -> DataFrame:
+        """Takes a batch (doc_id, text, others) in; doc_id, n_words, n_removed, kept (binary) and the others of each row.
 
         base: no id of the batch is below it (ids are coded from there).
+        spaces: kept has the text's own white space, and all of a text that loses nothing.
         """
         width, buckets, bits = self.width, self.buckets, self.bits
         shift = np.uint64(64 - 32)
@@ -268,7 +283,7 @@ class FingerprintIndex:
             texts = [(t or "").encode() for t in table["text"].to_pylist()]
             ids = table["doc_id"].fill_null(int(_LAST)).to_numpy()
             order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-            return table.select(["doc_id"]).take(order), [texts[i] for i in order], ids[order]
+            return table.drop_columns(["text", "chunk"]).take(order), [texts[i] for i in order], ids[order]
 
         def cuts(h: np.ndarray) -> np.ndarray:
             """Where each bucket's entries end: buckets are equal ranges of the leading 32 bits."""
@@ -323,7 +338,8 @@ class FingerprintIndex:
                     row("run", bucket, -1, int(fresh.sum()), _deltas(uh[fresh]), uc[fresh].tobytes())
             return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
-        kind = batch.schema["doc_id"].dataType.simpleString()
+        others = [f for f in batch.schema.fields if f.name not in ("doc_id", "text")]
+        schema = T.StructType([batch.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType()), *others])
 
         def apply(docs: pa.Table, answers: pa.Table) -> pa.Table:
             rows, texts, ids = sort_key(docs)
@@ -341,7 +357,7 @@ class FingerprintIndex:
                 at += w
                 if not hit.any():
                     removed.append(0)
-                    kept.append(b" ".join(words))
+                    kept.append(text if spaces else b" ".join(words))
                     continue
                 step = np.zeros(n + 1, np.int32)
                 where = np.flatnonzero(hit)
@@ -349,15 +365,20 @@ class FingerprintIndex:
                 np.add.at(step, where + width, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 removed.append(int(gone.sum()))
-                kept.append(b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g]))
-            return pa.table([rows["doc_id"].combine_chunks(), pa.array(p.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-        chunked = batch.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-        sent = chunked.groupBy("chunk").applyInArrow(fingerprint, _SENT)
+                kept.append(_without(text, gone) if spaces else b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g]))
+            out = pa.table([rows["doc_id"], pa.array(p.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+            for f in others:
+                out = out.append_column(f.name, rows[f.name])
+            return out
+
+        narrow = batch.select("doc_id", "text")
+        chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+        chunked = batch.withColumn("chunk", chunk)
+        sent = narrow.withColumn("chunk", chunk).groupBy("chunk").applyInArrow(fingerprint, _SENT)
         merged = sent.groupBy("bucket").cogroup(self._history().groupBy("bucket")).applyInArrow(merge, _ANSWER)
         table = self._table(merged)
         answers = self.spark.table(table).where("kind = 'answer'").select("bucket", "chunk", "n", "h")
-        out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"doc_id {kind}, n_words long, n_removed long, kept binary")
+        out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
         self.runs.append((0, table))
         return out
 
@@ -404,13 +425,15 @@ def _held(uh: np.ndarray, uc: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.nd
     return hit
 
 
-def remove_copied_windows(docs: DataFrame, width: int = WINDOW, batches: int = BATCHES, fan_in: int = FAN_IN, chunk_bytes: int = CHUNK_BYTES, bucket_windows: int = BUCKET_WINDOWS, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_copied_windows(docs: DataFrame, width: int = WINDOW, batches: int = BATCHES, fan_in: int = FAN_IN, chunk_bytes: int = CHUNK_BYTES, bucket_windows: int = BUCKET_WINDOWS, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None, spaces: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space, as UTF-8) of every row.
 
     The documents enter an index in ``batches`` steps by ascending doc_id.
+    carry: further columns of the result, from which columns of the input.
+    spaces: kept has the white space of the text instead of single spaces.
     """
     spark = docs.sparkSession
-    own = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    own = pick(docs, doc_id=id_col, text=text_col, **(carry or {})).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows, size = text_bytes(own)
     edges = sorted({int(x) for x in own.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []}) if batches > 1 and rows else []
     index = FingerprintIndex(spark, parts(size / 6, bucket_windows, 8), width, fan_in, bits)
@@ -425,7 +448,7 @@ def remove_copied_windows(docs: DataFrame, width: int = WINDOW, batches: int = B
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
         base = low + 1 if low is not None else least if least is not None else 0
-        out = index.add(batch, parts(size / len(spans), chunk_bytes), base)
+        out = index.add(batch, parts(size / len(spans), chunk_bytes), base, spaces)
         schema = out.schema
         with freed_shuffles(spark):
             out.write.mode("append").parquet(path)
