@@ -88,14 +88,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib, end, width = library(tokenizer), packed([end_id]), 4 * capacity
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
                 texts = [t or "" for t in part["text"].to_pylist()]
-                if lib.cuts:
-                    lib.cache.prepare([t for t in texts if lib.may_cut(t)])
                 row, start, total, ids = [], [], [], []
-                for i, text in enumerate(texts):
-                    all_ids = lib.ids(text) + end
+                for i, own in enumerate(lib.ids(texts)):
+                    all_ids = own + end
                     for at in range(0, len(all_ids), width):
                         row.append(i)
                         start.append(at // 4)
@@ -136,6 +134,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
         offset[order.to_numpy()] = offsets
         table = table.append_column("sequence_id", pa.array(place)).append_column("offset", pa.array(offset))
         yield from table.to_batches(max_chunksize=4000)
+        del table, held
+        pa.default_memory_pool().release_unused()
 
     dealt = rest.repartition(groups, F.xxhash64("doc_id", "start", "doc_tokens"))
     return full.unionByName(dealt.mapInArrow(run, full.schema))

@@ -15,11 +15,10 @@ pieces, whatever stands around them. Pieces repeat, so they are looked up.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
-import regex
-
-#: Cached pieces per Python worker; a full cache is emptied and starts again.
-CACHE_PIECES = 400_000
+#: Cached pieces per Python worker. The frequent ones come first; once it is full the rest is encoded batch by batch.
+CACHE_PIECES = 300_000
 #: Longer pieces aren't kept.
 CACHE_CHARS = 64
 
@@ -54,61 +53,70 @@ def pieces(text: str) -> list[str]:
 
 
 
-_ODD_SPACE = regex.compile(r" (?=\s)")
+class PieceCache:
+    """Encodes texts by looking their pieces up.
+
+    Keys are pieces less their leading space; a text's first piece, which has
+    none, is marked by a zero byte. ``encode`` turns pieces into packed ids. A
+    piece that is empty or begins with white space tells of a space that isn't a
+    stable cut; its value is False and its text is cut again with care.
+    """
 
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES):
+        self.encode, self.most = encode, most
+        self.known: dict[str, bytes | bool] = {}
 
-class PieceCache(dict):
-    """piece (its leading space left out) -> what encode gives for ' ' + piece; `first` without the space."""
+    def _learn(self, keys: set[str]) -> dict[str, bytes | bool]:
+        """Encodes keys that aren't known; gives those that aren't kept: long ones, and all once the cache is full."""
+        found = list(keys)
+        odd = [k == "" or k[0].isspace() for k in found]
+        plain = [k for k, o in zip(found, odd, strict=True) if not o]
+        values: dict[str, bytes | bool] = dict.fromkeys(found, False)
+        values.update(zip(plain, self.encode([k[1:] if k[0] == "\0" else " " + k for k in plain]), strict=True))
+        room = self.most - len(self.known)
+        if room > 0:
+            self.known.update([x for x in islice(values.items(), room) if len(x[0]) <= CACHE_CHARS])
+        return values
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        super().__init__()
-        self.encode = encode
+    def _values(self, keys: list[str]) -> list:
+        values = [*map(self.known.get, keys)]
+        if None in values:
+            new = self._learn({k for k, v in zip(keys, values, strict=True) if v is None})
+            return [new[k] if v is None else v for k, v in zip(keys, values, strict=True)]
+        return values
 
-    def values_of(self, text: str, out: list | None = None) -> list:
-        """The encoded pieces of a text, in order."""
-        if _ODD_SPACE.search(text) or text[-1:] == " ":
-            return self._strict(pieces(text))
+    @staticmethod
+    def _keys(text: str) -> list[str]:
         found = text.split(" ")
-        found[0] = "\0" + found[0]  # stands for "no leading space"
-        try:
-            return [*map(self.__getitem__, found)]
-        except KeyError:
-            self.learn(found)
-            extra = self.extra
-            return [self[p] if p in self else extra[p] for p in found]
-
-    def _strict(self, cut: list[str]) -> list:
-        keys = [p[1:] if p[0] == " " else "\0" + p for p in cut]
-        self.learn(keys)
-        return [self[k] if k in self else self.extra[k] for k in keys]
-
-    extra: dict = {}
-
-    def learn(self, keys) -> None:
-        """Encodes keys that aren't known. Long ones are kept for the caller's text only."""
-        new = [k for k in dict.fromkeys(keys) if k not in self]
-        self.extra = {}
-        if not new:
-            return
-        if len(self) + len(new) > CACHE_PIECES:
-            self.clear()
-            new = list(dict.fromkeys(keys))
-        values = self.encode([k[1:] if k[:1] == "\0" else " " + k for k in new])
-        for k, v in zip(new, values, strict=True):
-            if len(k) <= CACHE_CHARS:
-                self[k] = v
-            else:
-                self.extra[k] = v
+        found[0] = "\0" + found[0]
+        return found
+
+    def values_of(self, text: str) -> list[bytes]:
+        """The encoded pieces of a text, one for each of pieces(text), in order."""
+        cut = pieces(text)
+        return self._values([p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else "\0" + p for p in cut]) if cut else []
 
-    def prepare(self, texts: list[str]) -> None:
-        """Learns the pieces of a whole batch at once, which is cheaper than text by text."""
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text. Pieces that are new are encoded all at once."""
+        out: list[bytes | None] = [None] * len(texts)
         new: set[str] = set()
-        for text in texts:
-            if text and not _ODD_SPACE.search(text):
-                found = text.split(" ")
-                found[0] = "\0" + found[0]
-                new.update(found)
-                if len(new) > CACHE_PIECES // 2:
-                    self.learn(sorted(k for k in new if len(k) <= CACHE_CHARS))
-                    new = set()
-        self.learn(sorted(k for k in new if len(k) <= CACHE_CHARS))
+        late = []
+        for i, text in enumerate(texts):
+            keys = self._keys(text)
+            values = [*map(self.known.get, keys)]
+            if None in values:
+                new.update([k for k, v in zip(keys, values, strict=True) if v is None])
+                late.append(i)
+            else:
+                out[i] = self._joined(text, values)
+        found = self._learn(new) if new else {}
+        for i in late:
+            keys = self._keys(texts[i])
+            out[i] = self._joined(texts[i], [found[k] if v is None else v for k, v in zip(keys, map(self.known.get, keys), strict=True)])
+        return out
+
+    def _joined(self, text: str, values: list) -> bytes:
+        try:
+            return b"".join(values)
+        except TypeError:  # a space that is no stable cut
+            return b"".join(self.values_of(text))
