@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,10 @@ def listing(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, list[str]
                 raise
             missing.append(root)
             continue
+        # Spark's readers pass over files without bytes; its index still knows them
+        named = spark.createDataFrame([(unquote(x),) for x in found.inputFiles()], "path string")
+        blank = named.join(found.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"))
+        found = found.select("path", "modificationTime", "length").unionByName(blank)
         full = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
         plain = "/" + base.split(":", 1)[-1].lstrip("/")
         rows = found.select(
