@@ -31,8 +31,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_recorders: list[list[str]] = []
+
+
+class recorded:
+    """Gathers the scratch tables that are named while this holds, so that their user can remove them later."""
+
+    def __enter__(self) -> list[str]:
+        _recorders.append([])
+        return _recorders[-1]
+
+    def __exit__(self, *_):
+        _recorders.pop()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for found in _recorders:
+        found.append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -66,10 +83,21 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """df as a table below the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     with freed_shuffles(spark):
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """What an operator keeps in a Python worker from task to task. Another operator's state goes first, so only one is held."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 def pick(docs: DataFrame, **wanted: str) -> DataFrame:
     """The named columns under names of our own, so other columns of the input can't clash.
 

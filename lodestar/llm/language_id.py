@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import crc_fold, pick
+from lodestar.llm.common import crc_fold, pick, worker_state
 
 SAMPLE = 600
 TABLE = 1 << 16
@@ -58,7 +58,6 @@ SCRIPT_NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([SCRIPT_NAMES.index(n) for _, n in SCRIPTS])
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
-_WORKER: dict = {}
 
 
 def letters(piece: str) -> str:
@@ -218,8 +217,12 @@ class Labeller:
 def train(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from labelled documents, at most ``sample`` of each language (those of the smallest hashes)."""
     own = pick(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("lang", F.col("lang").cast("string"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id")
-    chosen = own.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"))
+    # a first cut by the hash leaves about three samples of each language, so no task sorts a whole language
+    ids = own.select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h"))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = ids.join(F.broadcast(sizes), "lang").where((F.pmod("h", F.lit(1 << 20)) + 1) * F.col("n") <= 3 * sample * (1 << 20))  # sizes: a row for each language
+    by_hash = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "doc_id")
+    chosen = few.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"))
     texts = own.join(chosen, (own["doc_id"].eqNullSafe(chosen["chosen_id"])) & (own["lang"] == chosen["chosen_lang"])).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +259,7 @@ def label_documents(docs: DataFrame, model: Model, penalty: float = PENALTY, id_
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("key") != key:
-            _WORKER.update(key=key, labeller=Labeller(pickle.loads(shared.value)))
-        labeller = _WORKER["labeller"]
+        labeller = worker_state(key, lambda: Labeller(pickle.loads(shared.value)))
         span = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

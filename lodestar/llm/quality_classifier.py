@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import crc_fold, pick
+from lodestar.llm.common import crc_fold, pick, worker_state
 
 SAMPLE = 4096
 WIDTH = 4096
@@ -40,7 +40,6 @@ RANK = 48
 NEIGHBOURS = 25
 POWER = 8.0
 CACHE_WORDS = 300_000
-_WORKER: dict = {}
 _UPPER, _LOWER, _DIGIT = regex.compile(r"\p{Lu}+"), regex.compile(r"[\p{L}\p{M}--\p{Lu}]+", regex.V1), regex.compile(r"\p{N}+")
 _REPEAT = regex.compile(r"(.)\1+", regex.DOTALL)
 
@@ -173,9 +172,7 @@ def score(docs: DataFrame, voters: Voters, block: int = 256, id_col: str = "doc_
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("key") != key:
-            _WORKER.update(key=key, voters=pickle.loads(shared.value), terms=Terms())
-        voters, terms = _WORKER["voters"], _WORKER["terms"]
+        voters, terms = worker_state(key, lambda: (pickle.loads(shared.value), Terms()))
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
