@@ -15,8 +15,8 @@ four steps:
    are shuffled, so a passage that a third of all documents share costs one
    entry per chunk.
 2. Merge-join. A bucket's task merges the chunks' blocks with the runs' blocks
-   of the bucket. Runs are bucketed tables, so they are read in place and not
-   shuffled again.
+   of the bucket. Runs are partitions of a bucketed table, so they are read in
+   place and not shuffled again.
 3. Verify. A fingerprint is 64 bits and a match counts only if 16 further bits
    of an independent hash of the same 13 words agree too. Entries that share the
    64 bits and differ in these are told apart and kept as two.
@@ -42,18 +42,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import freed_shuffles, parts, pick, scratch, text_bytes
+from lodestar.llm.common import freed_shuffles, parts, pick, remove, scratch, text_bytes
 
 WINDOW = 13
 #: Text bytes of a chunk, and windows of a bucket over the whole index, on average.
-CHUNK_BYTES = 8 << 20
-BUCKET_WINDOWS = 3 << 20
-BATCHES = 3
-FAN_IN = 2
+CHUNK_BYTES = 6 << 20
+BUCKET_WINDOWS = 5 << 18
+BATCHES = 5
+FAN_IN = 3
 
 _LAST = np.int64(2**63 - 1)  # stands for a null doc_id
 _BLOCK = 1 << 21
@@ -241,33 +242,44 @@ _ANSWER = "kind string, bucket int, chunk int, n long, h binary, c binary"
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints. ``buckets`` is fixed for the index's life."""
+    """Sorted immutable runs of window fingerprints. ``buckets`` is fixed for the index's life.
+
+    All runs are partitions of one bucketed table in the shared folder, so that
+    one scan reads a bucket of all of them in one task and nothing is shuffled.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int, width: int = WINDOW, fan_in: int = FAN_IN, bits: int = 64):
         self.spark, self.buckets, self.width, self.fan_in, self.bits = spark, buckets, width, fan_in, bits
-        self.name = f"fingerprints_{uuid.uuid4().hex}"
-        self.runs: list[tuple[int, str]] = []  # level, table
+        self.name, self.path = f"fingerprints_{uuid.uuid4().hex}", scratch(spark, "fingerprints")
+        self.runs: list[tuple[int, str]] = []  # level, partition
         self.made = 0
 
-    def _table(self, df: DataFrame) -> str:
-        self.made += 1
-        name = f"{self.name}_{self.made}"
+    def _write(self, df: DataFrame) -> None:
+        """Rows with their partition in ``run``, added to the table."""
         with freed_shuffles(self.spark):
-            df.write.format("parquet").partitionBy("kind").bucketBy(self.buckets, "bucket").option("compression", "uncompressed").saveAsTable(name)
-        return name
+            df.write.format("parquet").mode("append").partitionBy("run").bucketBy(self.buckets, "bucket").option("compression", "uncompressed").option("path", self.path).saveAsTable(self.name)
+
+    def _read(self, *runs: str) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("run").isin(*runs))
 
     def _history(self) -> DataFrame:
-        found = [self.spark.table(t).where("kind = 'run'").select("bucket", "n", "h", "c") for _, t in self.runs]
-        if not found:
+        if not self.runs:
             return self.spark.createDataFrame([], "bucket int, n long, h binary, c binary")
-        out = found[0]
-        for df in found[1:]:
-            out = out.unionByName(df)
-        return out
+        return self._read(*[r for _, r in self.runs]).select("bucket", "n", "h", "c")
+
+    def _forget(self, runs: list[str]) -> None:
+        for run in runs:
+            try:  # a catalog that lists partitions has to be told
+                self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (run='{run}')")
+            except AnalysisException:
+                pass
+            remove(self.spark, f"{self.path}/run={run}")
+        self.spark.catalog.refreshTable(self.name)
 
     def drop(self) -> None:
-        for _, table in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
+        if self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
         self.runs = []
 
     def add(self, batch: DataFrame, chunks: int, base: int = 0, spaces: bool = False) -> DataFrame:
@@ -376,38 +388,49 @@ class FingerprintIndex:
         chunked = batch.withColumn("chunk", chunk)
         sent = narrow.withColumn("chunk", chunk).groupBy("chunk").applyInArrow(fingerprint, _SENT)
         merged = sent.groupBy("bucket").cogroup(self._history().groupBy("bucket")).applyInArrow(merge, _ANSWER)
-        table = self._table(merged)
-        answers = self.spark.table(table).where("kind = 'answer'").select("bucket", "chunk", "n", "h")
+        self.made += 1
+        answer, run = f"answer{self.made}", f"run{self.made}"
+        self._write(merged.withColumn("run", F.when(F.col("kind") == "run", run).otherwise(answer)).drop("kind"))
+        answers = self._read(answer).select("bucket", "chunk", "n", "h")
         out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
-        self.runs.append((0, table))
+        self.runs.append((0, run))
         return out
 
+    def applied(self) -> None:
+        """The last batch's result has been written: its answers go."""
+        self._forget([f"answer{self.made}"])
+
     def compact(self) -> None:
         """Merges runs of one level once there are fan_in of them. Call when a batch's result is written."""
-        level = self.runs[-1][0] if self.runs else 0
+        level = 0
         while True:
-            same = [r for r in self.runs if r[0] == level]
+            same = [r for k, r in self.runs if k == level]
             if len(same) < self.fan_in:
-                return
-            found = [self.spark.table(t).where("kind = 'run'").select("bucket", "n", "h", "c") for _, t in same]
-            both = found[0]
-            for df in found[1:]:
-                both = both.unionByName(df)
-
-            def one(table: pa.Table) -> pa.Table:
-                sizes = table["n"].to_pylist()
-                h = np.concatenate([_from_deltas(x.as_py(), n) for x, n in zip(table["h"], sizes, strict=True)])
-                c = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table["c"]])
-                order, _ = _ordered(h, c)  # runs have no entry in common
-                return pa.table({"kind": ["run"], "bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "chunk": pa.array([-1], pa.int32()), "n": [len(h)], "h": pa.array([_deltas(h[order])], pa.binary()), "c": pa.array([c[order].tobytes()], pa.binary())})
-
-            table = self._table(both.groupBy("bucket").applyInArrow(one, _ANSWER))
-            for run in same:
-                self.spark.sql(f"DROP TABLE {run[1]} PURGE")
-            self.runs = [r for r in self.runs if r not in same] + [(level + 1, table)]
+                if not any(k > level for k, _ in self.runs):
+                    return
+                level += 1
+                continue
+            name = f"{same[-1]}x{level}"
+
+            self._write(self._read(*same).select("bucket", "n", "h", "c").groupBy("bucket").applyInArrow(_merger(name), "bucket int, chunk int, n long, h binary, c binary, run string"))
+            self._forget(same)
+            self.runs = [(k, r) for k, r in self.runs if r not in same] + [(level + 1, name)]
             level += 1
 
 
+def _merger(run: str):
+    """A bucket's blocks of several runs as one block of the run."""
+
+    def one(table: pa.Table) -> pa.Table:
+        sizes = table["n"].to_pylist()
+        h = np.concatenate([_from_deltas(x.as_py(), n) for x, n in zip(table["h"], sizes, strict=True)])
+        c = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table["c"]])
+        order, _ = _ordered(h, c)  # runs have no entry in common
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "chunk": pa.array([-1], pa.int32()), "n": [len(h)], "h": pa.array([_deltas(h[order])], pa.binary()), "c": pa.array([c[order].tobytes()], pa.binary()), "run": [run]})
+
+    return one
+
+
 def _held(uh: np.ndarray, uc: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Which of the entries (uh, uc) a run's sorted block (h, c) holds."""
     if not len(h):
@@ -451,7 +474,8 @@ def remove_copied_windows(docs: DataFrame, width: int = WINDOW, batches: int = B
         out = index.add(batch, parts(size / len(spans), chunk_bytes), base, spaces)
         schema = out.schema
         with freed_shuffles(spark):
-            out.write.mode("append").parquet(path)
+            out.write.mode("append").option("compression", "zstd").parquet(path)
+        index.applied()
         if i + 1 < len(spans):
             index.compact()
     index.drop()
