@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pick
+from lodestar.llm.common import pick, worker_state
 from lodestar.llm.pretokens import PieceCache, pieces
 
 #: The split of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
-_WORKER: dict = {}
 
 
 def packed(ids: list[int]) -> bytes:
@@ -129,9 +128,7 @@ def _byte_letters() -> dict[str, int]:
 
 def library(path: str) -> Library:
     """One per Python worker, kept from task to task."""
-    if path not in _WORKER:
-        _WORKER[path] = Library(path)
-    return _WORKER[path]
+    return worker_state(("library", path), lambda: Library(path))
 
 
 class Chunk:
