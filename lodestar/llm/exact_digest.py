@@ -30,6 +30,8 @@ from lodestar.llm.common import parts, pick, scratch, text_bytes, written
 
 #: Text bytes of a range of ids, on average.
 RANGE_BYTES = 8 << 20
+#: Bits of the map of repeated digests that is broadcast: 8 MB whatever the input.
+FILTER_BITS = 1 << 26
 SALTS = (0, 1, 2, 3)
 
 
@@ -58,6 +60,22 @@ def impure_buckets(rows: DataFrame) -> DataFrame:
     return texts.withColumn("suffix", F.row_number().over(Window.partitionBy("digest").orderBy("canon")))
 
 
+def shared_rows(rows: DataFrame, digests: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """rows (digest, canon) whose digest comes more than once in ``digests``.
+
+    A bitmap of fixed size over the repeated digests goes to every task first, so
+    hardly any other row's text is shuffled by the join that decides.
+    """
+    often = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    often = written(often, scratch(rows.sparkSession, "repeated"))
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    words = often.select(F.shiftrightunsigned(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    near = rows.withColumn("w", F.shiftrightunsigned(F.pmod(F.xxhash64("digest"), F.lit(bits)), 6)).join(F.broadcast(words), "w")  # at most bits / 64 rows
+    near = near.where(F.call_function("shiftright", F.col("m"), (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    # written, because Spark would put later semi joins before the map
+    return written(near.select("digest", "canon").join(often, "digest"), scratch(rows.sparkSession, "shared"))
+
+
 def with_next(rows: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """rows (doc_id, text, ...) with next_text (null where there is none)."""
     n, size = text_bytes(rows)
@@ -93,8 +111,7 @@ def bucketed(rows: DataFrame, salts: tuple[int, ...] = SALTS) -> DataFrame:
     """
     spark = rows.sparkSession
     digests = written(rows.select("key", wide_digest(F.col("canon"), salts).alias("digest")), scratch(spark, "digests"))
-    often = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    shared = rows.select(wide_digest(F.col("canon"), salts).alias("digest"), "canon").join(often, "digest", "left_semi")
+    shared = shared_rows(rows.select(wide_digest(F.col("canon"), salts).alias("digest"), "canon"), digests.select("digest"))
     mixed = written(impure_buckets(shared), scratch(spark, "impure"))
     if mixed.isEmpty():  # as good as always: every bucket holds the bytes of one text
         return digests.withColumn("suffix", F.lit(""))
@@ -136,9 +153,8 @@ def fingerprint_edits(docs: DataFrame, salts: tuple[int, ...] = SALTS, range_byt
     # first only the narrow columns are kept; texts of shared buckets are made again, which is cheaper than writing all
     narrow = written(rows.drop("canon", "edit_canon"), scratch(spark, "digests"))
     both = narrow.select("digest").unionAll(narrow.select(F.col("edit_digest").alias("digest")))
-    often = both.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     sides = F.explode(F.array(F.struct("digest", "canon"), F.struct(F.col("edit_digest").alias("digest"), F.col("edit_canon").alias("canon"))))
-    shared = rows.select(sides.alias("side")).select("side.*").join(often, "digest", "left_semi")
+    shared = shared_rows(rows.select(sides.alias("side")).select("side.*"), both)
     mixed = written(impure_buckets(shared), scratch(spark, "impure"))
     if mixed.isEmpty():  # as good as always: every bucket holds the bytes of one text
         return narrow.select("doc_id", "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.col("edit_digest").alias("edited_fingerprint"), "near_edited", "near_next")
