@@ -74,17 +74,6 @@ def simhash(text: str | None, words: int) -> int:
     return _voted(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[words:], strict=False)), "<u8", n))
 
 
-def weighted_simhash(text: str | None) -> int:
-    """SimHash of the distinct words, each weighing its length: moves little under a few edits."""
-    found = set((text or "").encode().lower().split())
-    if not found:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), "<u8", len(found))
-    weight = np.fromiter(map(len, found), np.int32, len(found))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * (weight @ bits.astype(np.int32)) > weight.sum(), bitorder="little").view("<u8")[0])
-
-
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -101,36 +90,6 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def wide_simhash(text: str | None, words: int) -> tuple[int, int]:
-    """128 bits voted by the XXH3-128 of the shingles: tells apart what 64 bits can't."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return 0, 0
-    joined, starts, start = b" ".join(found), [], 0
-    for w in found:
-        starts.append(start)
-        start += len(w) + 1
-    starts.append(start)
-    width = min(words, len(found))
-    digest = xxhash.xxh3_128_digest
-    raw = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[width:], strict=False)])
-    hashes = np.frombuffer(raw, "<u8").reshape(-1, 2)
-    return _voted(np.ascontiguousarray(hashes[:, 0])), _voted(np.ascontiguousarray(hashes[:, 1]))
-
-
-def copy_prints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (weighted words: finds candidates), s1 and s2 (128 bits of word shingles: decide). No shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            wide = [wide_simhash(t, words) for t in texts]
-            yield pa.record_batch([batch["doc_id"], _signed([weighted_simhash(t) for t in texts]), _signed([w[0] for w in wide]), _signed([w[1] for w in wide])], names=["doc_id", "fp", "s1", "s2"])
-
-    own = pick(docs, doc_id=id_col, text=text_col)
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, fp long, s1 long, s2 long")
-
-
 # -- BK-trees -------------------------------------------------------------------------------------
 
 
@@ -361,17 +320,6 @@ def grouped(prints: DataFrame, more: list[str], radius: int, more_radius: int, b
     return prints.join(named, key)
 
 
-def near_copies(docs: DataFrame, words: int = 5, radius: int = 6, blocks: int = 8, wide_radius: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of every row: groups of documents that share about 0.8 of their word shingles.
-
-    Two documents link if their weighted-word fingerprints differ in at most
-    ``radius`` bits and their 128 shingle bits in at most ``wide_radius``. Sets with
-    similarity 0.8 differ in 19 of 128 bits on average, with a deviation of 4.
-    """
-    prints = written(copy_prints(docs, words, id_col, text_col), scratch(docs.sparkSession, "fingerprints"))
-    return grouped(prints, ["s1", "s2"], radius, wide_radius, blocks).select("doc_id", "component_id")
-
-
 def hex64(fp):
     """A signed long's 64 bits as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
