@@ -1,16 +1,17 @@
 """Near copies against brute force over all pairs."""
 
 import random
+from itertools import combinations
 
 import pytest
 
-from lodestar.llm import near_copies
+from lodestar.llm import near_copies, simhash
 
 VOCABULARY = [f"w{i}" for i in range(4000)]
 
 
 def shingles(text, width=5):
-    w = text.lower().split()
+    w = (text or "").lower().split()
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
 
 
@@ -60,3 +61,35 @@ def test_no_near_copy_is_missed(texts, groups):
     pairs = [(i, i + 1) for i in range(6, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8]
     assert len(pairs) > 80
     assert [p for p in pairs if groups[p[0]] != groups[p[1]]] == []
+
+
+def brute_groups(texts):
+    union = simhash.Union(len(texts))
+    sets = [shingles(t or "") for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        shared = len(sets[a] & sets[b])
+        if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+            union.join(a, b)
+    return {frozenset(i for i in range(len(texts)) if union.find(i) == r) for r in map(union.find, range(len(texts)))}
+
+
+def as_groups(roots):
+    return {frozenset(k for k, r in roots.items() if r == root) for root in roots.values()}
+
+
+def test_groups_equal_brute_force(texts, groups):
+    assert sum(jaccard(texts[i], texts[i + 1]) < 0.8 for i in range(6, len(texts), 2)) > 20
+    assert as_groups(groups) == brute_groups(texts)
+
+
+def test_blocks_of_a_large_group_meet(spark):
+    rng = random.Random(4)
+    words = prose(rng, 100)
+    texts = [" ".join(edited(rng, words, "replaced", 0.01 + 0.01 * (i % 4))) for i in range(60)]
+    rows = [(g, i) for g in (1, 2) for i in range(60)]
+    sets = near_copies.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5)
+    roots = {i: i for i in range(60)}
+    found = near_copies.components(near_copies.links(spark.createDataFrame(rows, "g long, node long"), sets, most=25))
+    roots |= {r["node"]: r["root"] for r in found.collect()}
+    want = brute_groups(texts)
+    assert as_groups(roots) == want and 1 < len(want) < 60
