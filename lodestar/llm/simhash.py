@@ -303,21 +303,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: in
     """doc_id, fp, component_id for every row."""
     spark = docs.sparkSession
     prints = written(fingerprints(docs, words, id_col, text_col), scratch(spark, "fingerprints"))
-    return grouped(prints, [], radius, 0, blocks, tree_rows)
-
-
-def grouped(prints: DataFrame, more: list[str], radius: int, more_radius: int, blocks: int, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """prints (doc_id, fp, more) with component_id, the smallest doc_id of the group."""
-    spark = prints.sparkSession
-    key = ["fp", *more]
-    # the smallest id names the fingerprint; without any, a number below all ids stands for it
-    distinct = prints.groupBy(*key).agg(F.min(F.col("doc_id").cast("long")).alias("least"))
-    nodes = written(distinct.withColumn("node", F.coalesce(F.col("least"), F.lit(1 << 62) + F.pmod(F.xxhash64(*key), F.lit(1 << 60)))), scratch(spark, "nodes"))
-    joined = components(links(nodes, radius, blocks, more, more_radius, tree_rows))
-    named = nodes.join(joined, "node", "left").select(*key, F.coalesce("root", "node").alias("component"))
-    named = named.withColumn("component_id", F.when(F.col("component") < (1 << 62), F.col("component"))).drop("component")
-    named = written(named, scratch(spark, "named"))
-    return prints.join(named, key)
+    # a fingerprint is its own node number: an id may have several
+    distinct = prints.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("least"))
+    nodes = written(distinct.withColumn("node", F.col("fp")), scratch(spark, "nodes"))
+    joined = components(links(nodes, radius, blocks, tree_rows=tree_rows))
+    members = nodes.join(joined, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    members = written(members, scratch(spark, "members"))
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(written(members.join(least, "root").select("fp", "component_id"), scratch(spark, "named")), "fp")
 
 
 def hex64(fp):

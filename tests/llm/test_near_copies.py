@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import corpus_pipeline
 import pytest
 
 from lodestar.llm import near_copies, simhash
@@ -93,3 +94,20 @@ def test_blocks_of_a_large_group_meet(spark):
     roots |= {r["node"]: r["root"] for r in found.collect()}
     want = brute_groups(texts)
     assert as_groups(roots) == want and 1 < len(want) < 60
+
+
+def test_rows_that_share_an_id_but_not_the_text_stay(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(prose(rng, 80)) for _ in range(4))
+    rows = [(7, a, 1), (7, b, 2), (7, b, 2), (8, a + " tail", 3), (None, c, 4), (None, c, 4), (None, d, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r["n_chars"] for r in left) == [1, 2, 4, 5]
+
+
+def test_groups_of_a_shared_id_stay_apart(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(prose(rng, 80)) for _ in range(2))
+    docs = spark.createDataFrame([(7, a), (7, b), (3, a), (9, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(3, 3), (7, 3), (7, 7), (9, 7)]
