@@ -57,28 +57,28 @@ class PieceCache:
     """Encodes texts by looking their pieces up.
 
     Keys are pieces less their leading space; a text's first piece, which has
-    none, is marked by a zero byte. ``encode`` turns pieces into packed ids. A
+    none, is in a tuple. ``encode`` turns pieces into packed ids. A
     piece that is empty or begins with white space tells of a space that isn't a
     stable cut; its value is False and its text is cut again with care.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES):
         self.encode, self.most = encode, most
-        self.known: dict[str, bytes | bool] = {}
+        self.known: dict[str | tuple[str], bytes | bool] = {}
 
-    def _learn(self, keys: set[str]) -> dict[str, bytes | bool]:
+    def _learn(self, keys: set[str | tuple[str]]) -> dict[str | tuple[str], bytes | bool]:
         """Encodes keys that aren't known; gives those that aren't kept: long ones, and all once the cache is full."""
         found = list(keys)
-        odd = [k == "" or k[0].isspace() for k in found]
+        odd = [type(k) is str and (k == "" or k[0].isspace()) for k in found]
         plain = [k for k, o in zip(found, odd, strict=True) if not o]
         values: dict[str, bytes | bool] = dict.fromkeys(found, False)
-        values.update(zip(plain, self.encode([k[1:] if k[0] == "\0" else " " + k for k in plain]), strict=True))
+        values.update(zip(plain, self.encode([" " + k if type(k) is str else k[0] for k in plain]), strict=True))
         room = self.most - len(self.known)
         if room > 0:
-            self.known.update([x for x in islice(values.items(), room) if len(x[0]) <= CACHE_CHARS])
+            self.known.update([x for x in islice(values.items(), room) if len(x[0] if type(x[0]) is str else x[0][0]) <= CACHE_CHARS])
         return values
 
-    def _values(self, keys: list[str]) -> list:
+    def _values(self, keys: list[str | tuple[str]]) -> list:
         values = [*map(self.known.get, keys)]
         if None in values:
             new = self._learn({k for k, v in zip(keys, values, strict=True) if v is None})
@@ -86,15 +86,15 @@ class PieceCache:
         return values
 
     @staticmethod
-    def _keys(text: str) -> list[str]:
-        found = text.split(" ")
-        found[0] = "\0" + found[0]
+    def _keys(text: str) -> list[str | tuple[str]]:
+        found: list[str | tuple[str]] = text.split(" ")
+        found[0] = (found[0],)
         return found
 
     def values_of(self, text: str) -> list[bytes]:
         """The encoded pieces of a text, one for each of pieces(text), in order."""
         cut = pieces(text)
-        return self._values([p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else "\0" + p for p in cut]) if cut else []
+        return self._values([p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else (p,) for p in cut]) if cut else []
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text. Pieces that are new are encoded all at once."""

@@ -178,6 +178,16 @@ def test_pieces_join_to_the_text():
         assert all(p[0] == " " and not p[1].isspace() for p in cut[1:])
 
 
+def test_pieces_that_begin_with_a_zero_byte():
+    texts = ["x \0abc", "\0abc x", "abc \0 y", "\0", " \0", "a  \0b \0\0", "\0 \0abc abc"]
+    cache = pretokens.PieceCache(lambda found: [p.encode() for p in found])
+    assert cache.texts(texts) == [t.encode() for t in texts] == cache.texts(texts)
+    assert [b"".join(cache.values_of(t)) for t in texts] == [t.encode() for t in texts]
+    words = bpe.RankVocabulary(RANKS, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=words.ranks, special_tokens={})
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in words.cache.texts(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_bpe(docs, rows, none):
     words = bpe.RankVocabulary(RANKS, public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=words.ranks, special_tokens={})
