@@ -32,15 +32,10 @@ class Run:
 
 
 def read_pages(spark: SparkSession, entries: DataFrame, settings: Settings) -> DataFrame:
-    """Pages of entries (path, root)."""
-    names = [f"{r['root'].rstrip('/')}/{r['path']}" for r in entries.select("root", "path").toLocalIterator()]  # names of changed files alone
-    if not names:
-        return spark.createDataFrame([], readers.PAGES)
-    content = spark.read.format("binaryFile").load(names)
-    full = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
-    base = F.regexp_replace(F.regexp_replace("root", "^[a-z0-9]+:/*", "/"), "/+$", "")
-    wanted = entries.select("path", F.concat(base, F.lit("/"), "path").alias("full"))
-    return readers.extract_pages(content.select(full.alias("full"), "content").join(wanted, "full").select("path", "content"), settings.spreadsheet_max_rows)
+    """Pages of entries (path, root). Files that can't be read have none."""
+    wanted = sources.with_uri(spark, entries.select("path", "root"))
+    content = sources.contents(spark, wanted).join(wanted.select("uri", "path"), "uri")
+    return readers.extract_pages(content.select("path", "content"), settings.spreadsheet_max_rows)
 
 
 def processed(entries: DataFrame, pages: DataFrame, chunks: DataFrame, settings: Settings, can_embed: bool = True, ocr_available: bool = False) -> DataFrame:

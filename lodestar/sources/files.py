@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from pathlib import PurePosixPath
-from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,49 +24,84 @@ class ManifestVersionError(ValueError):
     """The manifest was written by a newer version."""
 
 
+#: Up to so many files are read by name; beyond that, by folder and a semi join on their paths.
+NAMED_FILES = 10_000
+LISTED = "root string, ord int, path string, abs_path string, name string, size bigint, uri string, mtime double"
+
+
+def _qualified(spark: SparkSession, root: str) -> tuple[str, bool]:
+    """The root in the form in which Spark names files (scheme and host, no slash at the end), and whether it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(path).toString().rstrip("/"), fs.exists(path)
+
+
+def _names(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """uri of every file of a folder, those without bytes too: Spark's file index, which the driver holds for any read."""
+    listed = spark.createDataFrame(pa.table({"value": pa.array(found.inputFiles(), pa.string())}))
+    encoded = listed.select(F.regexp_replace("value", r"^file:/+", "file:/").alias("value"))
+    # the index escapes names, the path column doesn't; a plus sign is no space here
+    return encoded.select(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("uri"))
+
+
 def listing(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, list[str]]:
-    """root, ord, path (below its root), abs_path, name, size, mtime of all files, and the roots that can't be read.
+    """root, ord, path (below its root), abs_path, name, size, uri, mtime of all files, and the roots that can't be read.
 
-    Only metadata is read: the content column isn't selected.
+    Only metadata is read: the content column isn't selected. Spark's reader
+    passes over files without bytes, its index knows them: they have size 0 and no time.
     """
     out, missing = None, []
     for i, root in enumerate(roots):
-        base = root.rstrip("/")
-        try:
-            found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        base, there = _qualified(spark, root)
+        if not there:
             missing.append(root)
             continue
-        # Spark's readers pass over files without bytes; its index still knows them
-        named = spark.createDataFrame([(unquote(x),) for x in found.inputFiles()], "path string")
-        blank = named.join(found.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"))
-        found = found.select("path", "modificationTime", "length").unionByName(blank)
-        full = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-        plain = "/" + base.split(":", 1)[-1].lstrip("/")
-        rows = found.select(
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("__globPaths__", "false").load(base)
+        full = found.select(F.col("path").alias("uri"), F.unix_micros("modificationTime").alias("micros"), "length")
+        rows = _names(spark, found).join(full, "uri", "left").select(
             F.lit(root).alias("root"),
             F.lit(i).alias("ord"),
-            F.substring(full, F.lit(len(plain) + 2), F.char_length(full)).alias("path"),
-            full.alias("abs_path"),
-            F.element_at(F.split(full, "/"), -1).alias("name"),
-            F.col("length").alias("size"),
-            F.unix_micros("modificationTime").cast("double").alias("micros"),
-            F.col("path").alias("uri"),
-        ).withColumn("mtime", F.col("micros") / 1e6)
-        out = rows.drop("micros") if out is None else out.unionByName(rows.drop("micros"))
-    if out is None:
-        out = spark.createDataFrame([], "root string, ord int, path string, abs_path string, name string, size bigint, uri string, mtime double")
-    return out, missing
+            F.substring("uri", F.lit(len(base) + 2), F.char_length("uri")).alias("path"),
+            F.regexp_replace("uri", "^[a-z0-9]+:/*", "/").alias("abs_path"),
+            F.element_at(F.split("uri", "/"), -1).alias("name"),
+            F.coalesce("length", F.lit(0)).cast("long").alias("size"),
+            "uri",
+            (F.col("micros").cast("double") / 1e6).alias("mtime"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], LISTED), missing
 
 
-def hashed(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows (uri, ...) with content_hash. Reads the content of these files alone."""
-    names = [r["uri"] for r in rows.select("uri").distinct().toLocalIterator()]
+def contents(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """uri and content of files (uri, root). A file that can't be read has no row, the others do.
+
+    A few files are read by their names; many by their folders with a semi join, so no long list goes through the driver.
+    """
+    names = [r["uri"] for r in files.select("uri").distinct().limit(NAMED_FILES + 1).collect()]
+    # names are names, not patterns: brackets and stars in them stand for themselves
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).option("__globPaths__", "false")
     if not names:
-        return rows.withColumn("content_hash", F.lit(None).cast("string"))
-    content = spark.read.format("binaryFile").load(names).select(F.col("path").alias("uri"), hashing.content_hash(F.col("content")).alias("content_hash"))
+        return spark.createDataFrame([], "uri string, content binary")
+    if len(names) > NAMED_FILES:
+        roots = [_qualified(spark, r["root"])[0] for r in files.select("root").distinct().collect()]  # configured folders, a few
+        found = reader.option("recursiveFileLookup", True).load(roots)
+        return found.select(F.col("path").alias("uri"), "content").join(files.select("uri").distinct(), "uri", "left_semi").dropDuplicates(["uri"])
+    there = [n for n in names if _qualified(spark, n)[1]]
+    return reader.load(there).select(F.col("path").alias("uri"), "content") if there else spark.createDataFrame([], "uri string, content binary")
+
+
+def with_uri(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    """entries (path, root, ...) with the uri under which Spark knows the file."""
+    bases = {r["root"]: _qualified(spark, r["root"])[0] for r in entries.select("root").distinct().collect()}  # configured folders, a few
+    base = F.lit(None).cast("string")
+    for root, known in bases.items():
+        base = F.when(F.col("root") == root, F.lit(known)).otherwise(base)
+    return entries.withColumn("uri", F.concat(base, F.lit("/"), "path"))
+
+
+def hashed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows (uri, ...) with content_hash; null for files that can't be read. Reads the content of these files alone."""
+    content = contents(spark, rows.where("size > 0")).select("uri", hashing.content_hash(F.col("content")).alias("content_hash"))
     empty = F.when(F.col("size") == 0, hashing.content_hash(F.lit(b"")))  # Spark's readers skip files without bytes
     return rows.join(content, "uri", "left").withColumn("content_hash", F.coalesce("content_hash", empty))
 
