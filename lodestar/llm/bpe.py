@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pick, worker_state
+from lodestar.llm.common import lean, pick, worker_state
 from lodestar.llm.pretokens import PieceCache
 
 #: Pre-tokens kept encoded per Python worker.
@@ -179,7 +179,7 @@ class RankVocabulary:
 
 def vocabulary(path: str, pattern: str) -> RankVocabulary:
     """One per Python worker, kept from task to task."""
-    return worker_state(("ranks", path, pattern), lambda: RankVocabulary(path, pattern))
+    return worker_state(__name__, (path, pattern), lambda: RankVocabulary(path, pattern))
 
 
 def encode_decode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
@@ -201,7 +201,7 @@ def encode_decode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_
 
     own = pick(docs, doc_id=id_col, text=text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+    return own.mapInArrow(lean(run), f"doc_id {kind}, ids binary, decoded binary")
 
 
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:

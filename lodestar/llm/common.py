@@ -8,23 +8,34 @@ executor costs a task retry and no recomputed lineage.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import inspect
 import math
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters between words: space and U+0009 to U+000D. bytes.split() uses the same six.
 WORD_SPACE = r"\x20\x09-\x0D"
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 _FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where it is unset and all runs in this process (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         root = tempfile.mkdtemp(prefix="lodestar-checkpoints-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -58,6 +69,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def goes_at_exit(spark: SparkSession, path: str) -> None:
+    """The scratch table at path goes when the application ends: until then a lazy result may read it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 class freed_shuffles:
     """While this holds, Spark drops a query's shuffle files as soon as the query ends.
 
@@ -84,32 +102,86 @@ def written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
     with freed_shuffles(spark):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    goes_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _state: dict = {}
 
 
-def worker_state(key, make):
-    """What an operator keeps in a Python worker from task to task. Another operator's state goes first, so only one is held."""
-    if key not in _state:
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def worker_state(owner: str, key=None, make=None):
+    """What an operator (``owner``) keeps in a Python worker from task to task: one object, made anew for another key.
+
+    Another operator's object goes first, so a worker holds one at a time.
+    """
+    if _state.get("owner") != owner:
+        held = "kept" in _state
         _state.clear()
-        _state[key] = make()
-    return _state[key]
+        _state["owner"] = owner
+        if held:
+            gc.collect()
+            trim()
+    if make is None:
+        return None
+    if "kept" not in _state or _state["key"] != key:
+        _state.pop("kept", None)
+        _state["kept"], _state["key"] = make(), key
+    return _state["kept"]
+
+
+def lean(f):
+    """f, a function of a Python worker, with other operators' state cleared before it and free memory given back after it.
+
+    f yields batches (mapInArrow) or takes one or two tables (applyInArrow, where Spark counts the parameters).
+    """
+    owner = f.__module__
+
+    def yielding(batches):
+        worker_state(owner)
+        yield from f(batches)
+        trim()
+
+    def one(table):
+        worker_state(owner)
+        out = f(table)
+        trim()
+        return out
+
+    def two(left, right):
+        worker_state(owner)
+        out = f(left, right)
+        trim()
+        return out
+
+    if inspect.isgeneratorfunction(f):
+        return yielding
+    return one if len(inspect.signature(f).parameters) == 1 else two
 
 
 def pick(docs: DataFrame, **wanted: str) -> DataFrame:
     """The named columns under names of our own, so other columns of the input can't clash.
 
-    Columns are found by exact name where there are several spellings, and the
-    first of equal names is taken.
+    Columns are found by exact name where there are several spellings, else by
+    the first that is equal but for the case; the first of equal names is taken.
     """
-    first: dict[str, int] = {}
-    for i, name in enumerate(docs.columns):
-        first.setdefault(name, i)
-    if len(first) < len(docs.columns):
-        docs = docs.toDF(*[n if first[n] == i else f"__other_{i}" for i, n in enumerate(docs.columns)])
-    return docs.select(*[F.col(f"`{old}`").alias(new) for new, old in wanted.items()])
+    own = [f"__{i}" for i in range(len(docs.columns))]
+    folded = [c.lower() for c in docs.columns]
+
+    def place(name: str) -> int:
+        if name in docs.columns:
+            return docs.columns.index(name)
+        if name.lower() in folded:
+            return folded.index(name.lower())
+        raise ValueError(f"there is no column {name} among {docs.columns}")
+
+    return docs.toDF(*own).select(*[F.col(own[place(old)]).alias(new) for new, old in wanted.items()])
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import crc_fold, pick, worker_state
+from lodestar.llm.common import crc_fold, lean, pick, worker_state
 
 SAMPLE = 600
 TABLE = 1 << 16
@@ -259,7 +259,7 @@ def label_documents(docs: DataFrame, model: Model, penalty: float = PENALTY, id_
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = worker_state(key, lambda: Labeller(pickle.loads(shared.value)))
+        labeller = worker_state(__name__, key, lambda: Labeller(pickle.loads(shared.value)))
         span = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -273,7 +273,7 @@ def label_documents(docs: DataFrame, model: Model, penalty: float = PENALTY, id_
     others = own.columns[2:]
     shape = "lang_pred string, score double, spans array<struct<first: int, after: int, lang: string>>"
     schema = T.StructType([own.schema["doc_id"], *T.StructType.fromDDL(shape).fields, *[own.schema[c] for c in others]])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(lean(run), schema)
 
 
 def held_out(docs: DataFrame, folds: int = 5, id_col: str = "doc_id") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import parts, pick, scratch, written
+from lodestar.llm.common import lean, parts, pick, scratch, written
 from lodestar.llm.token_counts import library, packed
 
 GROUP_ROWS = 40_000
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
         pa.default_memory_pool().release_unused()
 
     dealt = rest.repartition(groups, F.xxhash64("doc_id", "start", "doc_tokens"))
-    return full.unionByName(dealt.mapInArrow(run, full.schema))
+    return full.unionByName(dealt.mapInArrow(lean(run), full.schema))
 
 
 def sequences(packed_pieces: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import crc_fold, pick, worker_state
+from lodestar.llm.common import crc_fold, lean, pick, worker_state
 
 SAMPLE = 4096
 WIDTH = 4096
@@ -172,7 +172,7 @@ def score(docs: DataFrame, voters: Voters, block: int = 256, id_col: str = "doc_
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters, terms = worker_state(key, lambda: (pickle.loads(shared.value), Terms()))
+        voters, terms = worker_state(__name__, key, lambda: (pickle.loads(shared.value), Terms()))
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
@@ -180,7 +180,7 @@ def score(docs: DataFrame, voters: Voters, block: int = 256, id_col: str = "doc_
                 yield pa.record_batch([part["doc_id"], pa.array(found.astype(float), pa.float64())], names=["doc_id", "score"])
 
     own = pick(docs, doc_id=id_col, text=text_col)
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
+    return own.mapInArrow(lean(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def score_with_folds(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1) -> DataFrame:

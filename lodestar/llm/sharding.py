@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import parts, scratch, written
+from lodestar.llm.common import lean, parts, scratch, written
 
 #: Text bytes a bucket holds on average; a bucket must fit in a task's memory.
 BUCKET_BYTES = 24 << 20
@@ -52,7 +52,7 @@ def scattered(docs: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES, id_c
             yield from out.to_batches()
 
     schema = docs.withColumns({"__bucket": F.lit(0), "__at": F.lit(0).cast("long")}).schema
-    return written(keyed.repartition(buckets, "__scatter").mapInArrow(run, schema), scratch(docs.sparkSession, "buckets"))
+    return written(keyed.repartition(buckets, "__scatter").mapInArrow(lean(run), schema), scratch(docs.sparkSession, "buckets"))
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pick, remove, scratch, written
+from lodestar.llm.common import lean, pick, remove, scratch, written
 
 SEED = 42
 TREE_ROWS = 32_768
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.record_batch([batch["doc_id"], _signed(fps)], names=["doc_id", "fp"])
 
     own = pick(docs, doc_id=id_col, text=text_col)
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, fp long")
+    return own.mapInArrow(lean(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 # -- BK-trees -------------------------------------------------------------------------------------
@@ -230,7 +230,7 @@ def links(fps: DataFrame, radius: int, blocks: int, more: list[str] | None = Non
                 node = held["node"].to_numpy()
                 yield pa.record_batch([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(run), "a long, b long")
 
 
 def _whole_shards(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:

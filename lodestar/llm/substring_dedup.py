@@ -36,6 +36,7 @@ and not earlier than each other. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import freed_shuffles, parts, pick, remove, scratch, text_bytes
+from lodestar.llm.common import freed_shuffles, goes_at_exit, lean, parts, pick, remove, scratch, text_bytes, worker_state, written
 
 WINDOW = 13
 #: Text bytes of a chunk, and windows of a bucket over the whole index, on average.
@@ -55,72 +56,58 @@ CHUNK_BYTES = 6 << 20
 BUCKET_WINDOWS = 5 << 18
 BATCHES = 5
 FAN_IN = 3
+#: Ranges that a chunk's entries are cut into, and units that are joined before their run is cut again.
+FAN_OUT, UNITS = 256, 64
+#: Buckets of the table's files.
+MOST_FILES = 8192
+_STATE = "_index.json"
+
+#: Words whose digests a Python worker keeps.
+CACHE_WORDS = 300_000
 
 _LAST = np.int64(2**63 - 1)  # stands for a null doc_id
 _BLOCK = 1 << 21
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multipliers; any would do.
 _P, _MIX, _R1, _R2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _S = np.uint64(29)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _inverse(x: int) -> int:
-    return pow(int(x), -1, 1 << 64)
-
-
-class _Tables:
-    """Powers of the multiplier, made once in a worker."""
+class WordDigests:
+    """128 bits of BLAKE2b for each word, as two halves that know nothing of each other. Words seen in this worker are looked up."""
 
-    made: tuple | None = None
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.halves = np.zeros((0, 2), np.uint64)
 
-    @classmethod
-    def get(cls) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if cls.made is None:
-            rng = np.random.Generator(np.random.PCG64(1))
-            letters = rng.integers(0, 1 << 64, 256, np.uint64)
-            up = np.full(_BLOCK + 1, _P, np.uint64)
-            up[0] = 1
-            down = np.full(_BLOCK + 1, np.uint64(_inverse(int(_P))), np.uint64)
-            down[0] = 1
-            cls.made = letters, np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return cls.made
-
-
-def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the bytes (at most _BLOCK of them), and where it starts."""
-    letters, up, down = _Tables.get()
-    n = len(raw)
-    space = _SPACE[raw]
-    change = np.flatnonzero(space[1:] != space[:-1]) + 1
-    edges = np.r_[0, change] if n and not space[0] else change
-    if len(edges) % 2:
-        edges = np.r_[edges, n]
-    start, end = edges[::2], edges[1::2]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(letters[raw] * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    h = (h ^ (h >> _S)) * _MIX + (end - start).astype(np.uint64)
-    h ^= h >> np.uint64(32)
-    return h * _P, start
+    def of(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.place)
+        if len(self.place) + len(new) > CACHE_WORDS:
+            self.place.clear()
+            self.halves, new = self.halves[:0], set(words)
+        if new:
+            made = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in new]), "<u8").reshape(-1, 2)
+            self.place.update(zip(new, range(len(self.halves), len(self.halves) + len(new)), strict=True))
+            self.halves = np.concatenate([self.halves, made])
+        return self.halves[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
 
-def _windows(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and check of every run of width words."""
-    n = len(words) - width + 1
+def _windows(halves: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint, from the words' first halves, and check, from their second ones, of every run of width words."""
+    first, second = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+    n = len(first) - width + 1
     h, c = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    other = (words ^ (words >> np.uint64(31))) * _R2
     for j in range(width):
         h *= _R1
-        h += words[j : j + n]
-        c *= _MIX
-        c += other[j : j + n]
+        h += first[j : j + n]
+        c *= _R2
+        c += second[j : j + n]
     h ^= h >> np.uint64(32)
     h *= _P
     h ^= h >> _S
     c ^= c >> np.uint64(33)
-    c *= _R1
+    c *= _MIX
     return h, (c >> np.uint64(48)).astype(np.uint16)
 
 
@@ -153,18 +140,17 @@ class Prints:
         self.least = np.minimum.reduceat(self.window_ids[order], starts) if len(starts) else np.zeros(0, np.int64)
 
     def _block(self, texts: list[bytes], first: int, width: int, hashes: list, checks: list, owner: list) -> None:
-        if len(texts) == 1 and len(texts[0]) >= _BLOCK:
-            words = _long_words(texts[0])
-            counts = [len(words)]
-        else:
-            raw = np.frombuffer(b"\n".join(texts), np.uint8)
-            words, start = _word_hashes(raw)
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            counts = np.diff(np.r_[0, np.searchsorted(start, ends)]).tolist()
+        digests, found, counts = worker_state(__name__, "words", WordDigests), [], []
+        for words in map(_word_lists, texts):
+            counts.append(0)
+            for some in words:
+                counts[-1] += len(some)
+                found.append(some)
+        halves = np.concatenate([digests.of(some) for some in _joined(found)]) if found else np.zeros((0, 2), np.uint64)
         self.counts += counts
-        if len(words) < width:
+        if len(halves) < width:
             return
-        h, c = _windows(words, width)
+        h, c = _windows(halves, width)
         doc = np.repeat(np.arange(first, first + len(texts), dtype=np.int32), counts)
         inside = doc[: len(h)] == doc[width - 1 :]
         hashes.append(h[inside])
@@ -172,24 +158,25 @@ class Prints:
         owner.append(doc[: len(h)][inside])
 
 
-def _long_words(text: bytes) -> np.ndarray:
-    """Word hashes of one document of any length, read in blocks that end at a space."""
-    raw, at, out = np.frombuffer(text, np.uint8), 0, []
-    while at < len(raw):
-        end = min(len(raw), at + _BLOCK)
-        if end < len(raw):
-            gaps = np.flatnonzero(_SPACE[raw[at:end]])
-            if not len(gaps):  # one word as long as a block: by a digest of all its bytes
-                stop = end
-                while stop < len(raw) and not _SPACE[raw[stop]]:
-                    stop += 1
-                out.append(np.frombuffer(hashlib.blake2b(text[at:stop], digest_size=8).digest(), "<u8"))
-                at = stop
-                continue
-            end = at + int(gaps[-1]) + 1
-        out.append(_word_hashes(raw[at:end])[0])
+def _word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text of any length, in blocks that end at a space."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + _BLOCK) if len(text) - at > _BLOCK else None
+        end = gap.start() if gap else len(text)
+        yield (text if end - at == len(text) else text[at:end]).split()
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _joined(lists: list[list[bytes]]) -> Iterator[list[bytes]]:
+    """Lists of words joined into fewer, so that short texts are looked up together."""
+    held: list[bytes] = []
+    for some in lists:
+        held += some
+        if len(held) >= 1 << 18:
+            yield held
+            held = []
+    yield held
 
 
 def _ordered(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,25 +226,121 @@ def _from_deltas(block: bytes, n: int) -> np.ndarray:
 
 _SENT = "bucket int, chunk int, n long, h binary, c binary, ids binary"
 _ANSWER = "kind string, bucket int, chunk int, n long, h binary, c binary"
+_TABLE = "chunk int, n long, h binary, c binary, bucket int, run string"
+_TYPES = {"kind": pa.string(), "bucket": pa.int32(), "chunk": pa.int32(), "n": pa.int64(), "h": pa.binary(), "c": pa.binary(), "ids": pa.binary()}
+
+
+def _rows(rows: list[tuple], *names: str) -> pa.Table:
+    return pa.table({k: pa.array([r[i] for r in rows], _TYPES[k]) for i, k in enumerate(names)})
+
+
+def _blocks(h: np.ndarray, c: np.ndarray, ids: np.ndarray, ranges: int, first: int, count: int, unit: int) -> pa.Table:
+    """Sorted entries, all in the ranges from ``first`` on, as one row for each range that has any. Ranges are equal parts of the leading 32 bits."""
+    edges = (np.arange(first + 1, first + count, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)
+    at = np.r_[0, np.searchsorted(h, edges << np.uint64(32)), len(h)]
+    spans = [(first + i, slice(at[i], at[i + 1])) for i in range(count) if at[i] < at[i + 1]]
+    return _rows([(k, unit, s.stop - s.start, _deltas(h[s]), c[s].astype("<u2").tobytes(), _narrow(ids[s])) for k, s in spans], "bucket", "chunk", "n", "h", "c", "ids")
+
+
+class _Merged:
+    """Blocks of several units as one sorted run: each entry once, with the smallest id of any unit."""
+
+    def __init__(self, blocks: pa.Table):
+        self.units, self.sizes = blocks["chunk"].to_pylist(), blocks["n"].to_pylist()
+        h = np.concatenate([_from_deltas(x.as_py(), n) for x, n in zip(blocks["h"], self.sizes, strict=True)])
+        c = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in blocks["c"]])
+        self.ids = np.concatenate([_wide(x.as_py(), n) for x, n in zip(blocks["ids"], self.sizes, strict=True)])
+        self.order, self.new = _ordered(h, c)
+        starts = np.flatnonzero(self.new)
+        self.least = np.minimum.reduceat(self.ids[self.order], starts)
+        self.h, self.c = h[self.order][starts], c[self.order][starts]
+
+    def answers(self, bucket: int, earlier: np.ndarray) -> list[tuple]:
+        """A row for each unit: which of its entries an earlier document outside the unit holds, given which of the run's are held outside it."""
+        group = np.cumsum(self.new) - 1
+        own = np.empty(len(self.ids), bool)
+        own[self.order] = earlier[group] | (self.ids[self.order] > self.least[group])
+        ends = np.cumsum(self.sizes)
+        return [(bucket, unit, n, np.packbits(own[end - n : end]).tobytes()) for unit, n, end in zip(self.units, self.sizes, ends.tolist(), strict=True)]
+
+
+def _bits(answers: pa.Table) -> np.ndarray:
+    """The answers of neighbouring ranges as one array, in the order of the ranges."""
+    rows = sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["h"].to_pylist(), strict=True))
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in rows]).astype(bool) if rows else np.zeros(0, bool)
+
+
+def _levels(buckets: int, fan_out: int, units: int) -> list[int]:
+    """How many ranges the entries are cut into at each level: fan_out at first, then up to ``units`` times as many; at last ``buckets`` or a little more."""
+    out = [min(buckets, fan_out)]
+    while out[-1] < buckets:
+        out.append(out[-1] * min(units, -(-buckets // out[-1])))
+    return out
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints. ``buckets`` is fixed for the index's life.
+    """Sorted immutable runs of window fingerprints in a folder that all executors reach.
 
-    All runs are partitions of one bucketed table in the shared folder, so that
-    one scan reads a bucket of all of them in one task and nothing is shuffled.
+    All runs are partitions of one bucketed table, so that one scan reads a bucket
+    of all of them in one task and nothing of the past is shuffled. The number of
+    ``buckets`` is fixed for the index's life: choose it for the size the index
+    will grow to. ``save`` makes the present state the one that ``open`` finds.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, width: int = WINDOW, fan_in: int = FAN_IN, bits: int = 64):
-        self.spark, self.buckets, self.width, self.fan_in, self.bits = spark, buckets, width, fan_in, bits
-        self.name, self.path = f"fingerprints_{uuid.uuid4().hex}", scratch(spark, "fingerprints")
+    def __init__(self, spark: SparkSession, path: str, buckets: int, width: int = WINDOW, fan_in: int = FAN_IN, bits: int = 64, fan_out: int = FAN_OUT, units: int = UNITS):
+        self.spark, self.path, self.width, self.fan_in, self.bits, self.units = spark, path, width, fan_in, bits, units
+        self.levels = _levels(buckets, fan_out, units)
+        self.buckets = self.levels[-1]
+        self.name = f"fingerprints_{uuid.uuid4().hex}"
         self.runs: list[tuple[int, str]] = []  # level, partition
-        self.made = 0
+        self.answer: str | None = None
+        files = min(self.buckets, MOST_FILES)  # Spark bounds a table's buckets; ours are finer and share them
+        spark.sql(f"CREATE TABLE {self.name} ({_TABLE}) USING parquet OPTIONS (compression 'uncompressed') PARTITIONED BY (run) CLUSTERED BY (bucket) INTO {files} BUCKETS LOCATION '{path}'")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex | None:
+        """The index that was saved at path; None if there is none."""
+        fs, state = _file(spark, f"{path}/{_STATE}")
+        if not fs.exists(state):
+            return None
+        stream = fs.open(state)
+        saved = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        index = cls(spark, path, saved["levels"][-1], saved["width"], saved["fan_in"], saved["bits"], units=saved["units"])
+        index.levels, index.runs = saved["levels"], [tuple(r) for r in saved["runs"]]
+        index._found()
+        return index
+
+    def save(self) -> None:
+        fs, fresh = _file(self.spark, f"{self.path}/{_STATE}.{uuid.uuid4().hex}")
+        out = fs.create(fresh, True)
+        out.writeBytes(json.dumps({"levels": self.levels, "units": self.units, "width": self.width, "fan_in": self.fan_in, "bits": self.bits, "runs": self.runs}))
+        out.close()
+        state = _file(self.spark, f"{self.path}/{_STATE}")[1]
+        fs.delete(state, False)
+        if not fs.rename(fresh, state):
+            raise RuntimeError(f"the state of {self.path} could not be written")
+
+    def close(self) -> None:
+        """Forgets the table's name; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def drop(self) -> None:
+        self.close()
+        remove(self.spark, self.path)
+
+    def _found(self) -> None:
+        """A catalog that lists partitions is told of those in the folder."""
+        try:
+            self.spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
+        except AnalysisException:
+            pass
+        self.spark.catalog.refreshTable(self.name)
 
     def _write(self, df: DataFrame) -> None:
         """Rows with their partition in ``run``, added to the table."""
         with freed_shuffles(self.spark):
-            df.write.format("parquet").mode("append").partitionBy("run").bucketBy(self.buckets, "bucket").option("compression", "uncompressed").option("path", self.path).saveAsTable(self.name)
+            df.select("chunk", "n", "h", "c", "bucket", "run").write.mode("append").insertInto(self.name)
 
     def _read(self, *runs: str) -> DataFrame:
         return self.spark.table(self.name).where(F.col("run").isin(*runs))
@@ -276,20 +359,13 @@ class FingerprintIndex:
             remove(self.spark, f"{self.path}/run={run}")
         self.spark.catalog.refreshTable(self.name)
 
-    def drop(self) -> None:
-        if self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        remove(self.spark, self.path)
-        self.runs = []
-
     def add(self, batch: DataFrame, chunks: int, base: int = 0, spaces: bool = False) -> DataFrame:
         """Takes a batch (doc_id, text, others) in; doc_id, n_words, n_removed, kept (binary) and the others of each row.
 
         base: no id of the batch is below it (ids are coded from there).
         spaces: kept has the text's own white space, and all of a text that loses nothing.
         """
-        width, buckets, bits = self.width, self.buckets, self.bits
-        shift = np.uint64(64 - 32)
+        width, bits, units, levels = self.width, self.bits, self.units, self.levels
 
         def sort_key(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
             texts = [(t or "").encode() for t in table["text"].to_pylist()]
@@ -297,58 +373,36 @@ class FingerprintIndex:
             order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
             return table.drop_columns(["text", "chunk"]).take(order), [texts[i] for i in order], ids[order]
 
-        def cuts(h: np.ndarray) -> np.ndarray:
-            """Where each bucket's entries end: buckets are equal ranges of the leading 32 bits."""
-            edges = (np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)
-            return np.r_[0, np.searchsorted(h, edges << shift), len(h)]
-
         def fingerprint(table: pa.Table) -> pa.Table:
-            chunk = table["chunk"][0].as_py()
             _, texts, ids = sort_key(table)
             p = Prints(texts, ids, width, bits)
-            at = cuts(p.h)
-            rows = [b for b in range(buckets) if at[b] < at[b + 1]]
-            spans = [slice(at[b], at[b + 1]) for b in rows]
-            codes = (np.minimum(p.least, _LAST) - base).astype(np.uint64)
-            return pa.table({
-                "bucket": pa.array(rows, pa.int32()),
-                "chunk": pa.array([chunk] * len(rows), pa.int32()),
-                "n": pa.array([s.stop - s.start for s in spans], pa.int64()),
-                "h": pa.array([_deltas(p.h[s]) for s in spans], pa.binary()),
-                "c": pa.array([p.c[s].astype("<u2").tobytes() for s in spans], pa.binary()),
-                "ids": pa.array([_narrow(codes[s]) for s in spans], pa.binary()),
-            })
+            return _blocks(p.h, p.c, (np.minimum(p.least, _LAST) - base).astype(np.uint64), levels[0], 0, levels[0], table["chunk"][0].as_py())
 
-        def merge(new: pa.Table, old: pa.Table) -> pa.Table:
-            out: dict[str, list] = {k: [] for k in ("kind", "bucket", "chunk", "n", "h", "c")}
+        def gather(ranges: int, finer: int):
+            """Blocks of one range and of neighbouring units become one run, which is cut into finer ranges."""
+
+            def one(table: pa.Table) -> pa.Table:
+                run, k = _Merged(table), finer // ranges
+                return _blocks(run.h, run.c, run.least, finer, k * table["bucket"][0].as_py(), k, table["unit"][0].as_py())
 
-            def row(kind, bucket, chunk, n, h, c):
-                for k, v in zip(out, (kind, bucket, chunk, n, h, c), strict=True):
-                    out[k].append(v)
+            return one
 
+        def resolve(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+            """The way back: answers for the run of several units become answers for each of them."""
+            return _rows(_Merged(blocks).answers(blocks["bucket"][0].as_py(), _bits(answers)) if blocks.num_rows else [], "bucket", "chunk", "n", "h")
+
+        def merge(new: pa.Table, old: pa.Table) -> pa.Table:
+            out: list[tuple] = []
             if new.num_rows:
-                bucket, sizes = new["bucket"][0].as_py(), new["n"].to_pylist()
-                h = np.concatenate([_from_deltas(x.as_py(), n) for x, n in zip(new["h"], sizes, strict=True)])
-                c = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in new["c"]])
-                ids = np.concatenate([_wide(x.as_py(), n) for x, n in zip(new["ids"], sizes, strict=True)])
-                order, first = _ordered(h, c)
-                starts = np.flatnonzero(first)
-                least = np.minimum.reduceat(ids[order], starts)
-                uh, uc = h[order][starts], c[order][starts]
-                past = np.zeros(len(uh), bool)
+                run, bucket = _Merged(new), new["bucket"][0].as_py()
+                past = np.zeros(len(run.h), bool)
                 for x, k, n in zip(old["h"], old["c"], old["n"].to_pylist(), strict=True):
-                    past |= _held(uh, uc, _from_deltas(x.as_py(), n), np.frombuffer(k.as_py(), "<u2"))
-                group = np.cumsum(first) - 1
-                earlier = np.empty(len(h), bool)
-                earlier[order] = past[group] | (ids[order] > least[group])
-                at = 0
-                for chunk, n in zip(new["chunk"].to_pylist(), sizes, strict=True):
-                    row("answer", bucket, chunk, n, np.packbits(earlier[at : at + n]).tobytes(), b"")
-                    at += n
+                    past |= _held(run.h, run.c, _from_deltas(x.as_py(), n), np.frombuffer(k.as_py(), "<u2"))
+                out = [("answer", *row, b"") for row in run.answers(bucket, past)]
                 fresh = ~past
                 if fresh.any():
-                    row("run", bucket, -1, int(fresh.sum()), _deltas(uh[fresh]), uc[fresh].tobytes())
-            return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+                    out.append(("run", bucket, -1, int(fresh.sum()), _deltas(run.h[fresh]), run.c[fresh].tobytes()))
+            return _rows(out, "kind", "bucket", "chunk", "n", "h", "c")
 
         others = [f for f in batch.schema.fields if f.name not in ("doc_id", "text")]
         schema = T.StructType([batch.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType()), *others])
@@ -356,20 +410,18 @@ class FingerprintIndex:
         def apply(docs: pa.Table, answers: pa.Table) -> pa.Table:
             rows, texts, ids = sort_key(docs)
             p = Prints(texts, ids, width, bits)
-            by = sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["h"].to_pylist(), strict=True))
-            flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in by]
-            earlier = np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
+            earlier = _bits(answers)
             if len(earlier) != len(p.h):
                 raise RuntimeError("the index answered for other windows than the chunk has")
             copied = earlier[p.place] | (p.window_ids > p.least[p.place])
             removed, kept, at = [], [], 0
             for text, n in zip(texts, p.counts, strict=True):
-                words, w = text.split(), max(0, n - width + 1)
+                w = max(0, n - width + 1)
                 hit = copied[at : at + w]
                 at += w
                 if not hit.any():
                     removed.append(0)
-                    kept.append(text if spaces else b" ".join(words))
+                    kept.append(text if spaces else b" ".join(text.split()))
                     continue
                 step = np.zeros(n + 1, np.int32)
                 where = np.flatnonzero(hit)
@@ -377,28 +429,37 @@ class FingerprintIndex:
                 np.add.at(step, where + width, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 removed.append(int(gone.sum()))
-                kept.append(_without(text, gone) if spaces else b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g]))
+                kept.append(_without(text, gone) if spaces else b" ".join([x for x, g in zip(text.split(), gone.tolist(), strict=True) if not g]))
             out = pa.table([rows["doc_id"], pa.array(p.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
             for f in others:
                 out = out.append_column(f.name, rows[f.name])
             return out
 
-        narrow = batch.select("doc_id", "text")
-        chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
-        chunked = batch.withColumn("chunk", chunk)
-        sent = narrow.withColumn("chunk", chunk).groupBy("chunk").applyInArrow(fingerprint, _SENT)
-        merged = sent.groupBy("bucket").cogroup(self._history().groupBy("bucket")).applyInArrow(merge, _ANSWER)
-        self.made += 1
-        answer, run = f"answer{self.made}", f"run{self.made}"
-        self._write(merged.withColumn("run", F.when(F.col("kind") == "run", run).otherwise(answer)).drop("kind"))
-        answers = self._read(answer).select("bucket", "chunk", "n", "h")
-        out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
+        # rows without an id may all be equal: their place in the input, the same at each reading of it, spreads them
+        spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()) if base is None else F.lit(None).cast("long")
+        chunked = batch.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", spread), F.lit(chunks)).cast("int"))
+        base = base or 0
+        sent = chunked.select("doc_id", "text", "chunk").groupBy("chunk").applyInArrow(lean(fingerprint), _SENT)
+        between: list[tuple[DataFrame, int]] = []
+        for ranges, finer in zip(levels, levels[1:], strict=False):
+            held = written(sent.withColumn("unit", F.floor(F.col("chunk") / units).cast("int")), scratch(self.spark, "blocks"))
+            between.append((held, finer // ranges))
+            sent = held.groupBy("bucket", "unit").applyInArrow(lean(gather(ranges, finer)), _SENT)
+        merged = sent.groupBy("bucket").cogroup(self._history().groupBy("bucket")).applyInArrow(lean(merge), _ANSWER)
+        step = uuid.uuid4().hex[:12]
+        self.answer, run = f"answer{step}", f"run{step}"
+        self._write(merged.withColumn("run", F.when(F.col("kind") == "run", run).otherwise(self.answer)))
+        answers = self._read(self.answer).select("bucket", "chunk", "n", "h")
+        for held, k in reversed(between):
+            up = answers.select(F.floor(F.col("bucket") / k).cast("int").alias("up"), "bucket", "chunk", "n", "h")
+            answers = held.groupBy("bucket", "unit").cogroup(up.groupBy("up", "chunk")).applyInArrow(lean(resolve), "bucket int, chunk int, n long, h binary")
+        out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(apply), schema)
         self.runs.append((0, run))
         return out
 
     def applied(self) -> None:
         """The last batch's result has been written: its answers go."""
-        self._forget([f"answer{self.made}"])
+        self._forget([self.answer])
 
     def compact(self) -> None:
         """Merges runs of one level once there are fan_in of them. Call when a batch's result is written."""
@@ -410,14 +471,20 @@ class FingerprintIndex:
                     return
                 level += 1
                 continue
-            name = f"{same[-1]}x{level}"
+            name = f"run{uuid.uuid4().hex[:12]}"
 
-            self._write(self._read(*same).select("bucket", "n", "h", "c").groupBy("bucket").applyInArrow(_merger(name), "bucket int, chunk int, n long, h binary, c binary, run string"))
+            self._write(self._read(*same).select("bucket", "n", "h", "c").groupBy("bucket").applyInArrow(lean(_merger(name)), "bucket int, chunk int, n long, h binary, c binary, run string"))
             self._forget(same)
             self.runs = [(k, r) for k, r in self.runs if r not in same] + [(level + 1, name)]
             level += 1
 
 
+def _file(spark: SparkSession, path: str):
+    """The file system and the path of a file, as the JVM knows them."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _merger(run: str):
     """A bucket's blocks of several runs as one block of the run."""
 
@@ -448,37 +515,52 @@ def _held(uh: np.ndarray, uc: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.nd
     return hit
 
 
-def remove_copied_windows(docs: DataFrame, width: int = WINDOW, batches: int = BATCHES, fan_in: int = FAN_IN, chunk_bytes: int = CHUNK_BYTES, bucket_windows: int = BUCKET_WINDOWS, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None, spaces: bool = False) -> DataFrame:
+def remove_copied_windows(
+    docs: DataFrame, width: int = WINDOW, batches: int = BATCHES, fan_in: int = FAN_IN, chunk_bytes: int = CHUNK_BYTES, bucket_windows: int = BUCKET_WINDOWS, bits: int = 64, id_col: str = "doc_id", text_col: str = "text",
+    carry: dict[str, str] | None = None, spaces: bool = False, index_path: str | None = None, index_buckets: int | None = None, fan_out: int = FAN_OUT, units: int = UNITS,
+) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space, as UTF-8) of every row.
 
     The documents enter an index in ``batches`` steps by ascending doc_id.
     carry: further columns of the result, from which columns of the input.
     spaces: kept has the white space of the text instead of single spaces.
+    index_path: a folder where the index stays. One that is there already is
+    continued, whatever its documents' ids were: they count as earlier.
+    index_buckets: buckets of a new index that will outgrow these documents.
     """
     spark = docs.sparkSession
     own = pick(docs, doc_id=id_col, text=text_col, **(carry or {})).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows, size = text_bytes(own)
     edges = sorted({int(x) for x in own.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []}) if batches > 1 and rows else []
-    index = FingerprintIndex(spark, parts(size / 6, bucket_windows, 8), width, fan_in, bits)
-    path = scratch(spark, "kept")
-    schema = None
-    least = own.agg(F.min("doc_id")).first()[0] if rows else 0
-    spans = list(zip([None, *edges], [*edges, None], strict=True))
-    for i, (low, high) in enumerate(spans):
-        batch = own
+    index = FingerprintIndex.open(spark, index_path) if index_path else None
+    if index is None:
+        index = FingerprintIndex(spark, index_path or scratch(spark, "fingerprints"), index_buckets or parts(size / 6, bucket_windows, 8), width, fan_in, bits, fan_out, units)
+    path, schema = scratch(spark, "kept"), None
+    least = own.agg(F.min("doc_id")).first()[0] if rows else None
+    known, blank = own.where("doc_id IS NOT NULL"), own.where("doc_id IS NULL")
+    spans = [(low, high, low + 1 if low is not None else least or 0) for low, high in zip([None, *edges], [*edges, None], strict=True)]
+    without = blank.count() if rows else 0
+    if without:
+        spans.append((None, None, None))
+    for i, (low, high, base) in enumerate(spans):
+        batch = known if base is not None else blank
         if low is not None:
-            batch = batch.where((F.col("doc_id") > low) | F.col("doc_id").isNull()) if high is None else batch.where(F.col("doc_id") > low)
+            batch = batch.where(F.col("doc_id") > low)
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
-        base = low + 1 if low is not None else least if least is not None else 0
-        out = index.add(batch, parts(size / len(spans), chunk_bytes), base, spaces)
+        out = index.add(batch, parts(size / max(1, len(spans)), chunk_bytes), base, spaces)
         schema = out.schema
         with freed_shuffles(spark):
             out.write.mode("append").option("compression", "zstd").parquet(path)
         index.applied()
-        if i + 1 < len(spans):
+        if i + 1 < len(spans) or index_path:
             index.compact()
-    index.drop()
+    goes_at_exit(spark, path)
+    if index_path:
+        index.save()
+        index.close()
+    else:
+        index.drop()
     return spark.read.schema(schema).parquet(path)
 
 

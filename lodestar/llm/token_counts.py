@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pick, worker_state
+from lodestar.llm.common import lean, pick, worker_state
 from lodestar.llm.pretokens import PieceCache, pieces
 
 #: The split of byte-level vocabularies.
@@ -128,7 +128,7 @@ def _byte_letters() -> dict[str, int]:
 
 def library(path: str) -> Library:
     """One per Python worker, kept from task to task."""
-    return worker_state(("library", path), lambda: Library(path))
+    return worker_state(__name__, path, lambda: Library(path))
 
 
 class Chunk:
@@ -203,7 +203,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     own = pick(docs, doc_id=id_col, text=text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks long")
+    return own.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks long")
 
 
 def over_limit_share(counts: DataFrame) -> DataFrame:

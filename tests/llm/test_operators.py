@@ -79,7 +79,7 @@ def brute_windows(rows, width=13):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"batches": 4, "bits": 24, "chunk_bytes": 4000, "bucket_windows": 500}])
+@pytest.mark.parametrize("how", [{}, {"batches": 4, "bits": 24, "chunk_bytes": 4000, "bucket_windows": 500}, {"batches": 2, "chunk_bytes": 1000, "bucket_windows": 100, "fan_out": 4, "units": 2}])
 def test_substring_dedup(docs, rows, how):
     got = substring_dedup.digests(substring_dedup.remove_copied_windows(docs, **how)).collect()
     assert ordered(got) == ordered(brute_windows([r[:2] for r in rows]))
@@ -89,6 +89,41 @@ def test_substring_dedup_empty(none):
     assert substring_dedup.remove_copied_windows(none).count() == 0
 
 
+def test_words_that_collide_in_polynomial_hashes_are_told_apart(spark):
+    even = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    odd = "".join("ba"[i.bit_count() % 2] for i in range(1024))
+    head = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{head} {even}"), (2, f"{head} {odd}"), (3, f"{head} {even}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_copied_windows(df).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_an_index_is_closed_and_opened_again(spark, tmp_path, rows):
+    first = spark.createDataFrame([r[:2] for r in rows[:25]], "doc_id long, text string")
+    second = spark.createDataFrame([r[:2] for r in rows[25:]], "doc_id long, text string")
+    place = f"file://{tmp_path}/index"
+    got = substring_dedup.remove_copied_windows(first, batches=2, index_path=place).collect()
+    got += substring_dedup.remove_copied_windows(second, batches=2, index_path=place).collect()
+    want = {(d, m) for d, _, m, _ in brute_windows([r[:2] for r in rows])}
+    assert {(r["doc_id"], r["n_removed"]) for r in got} == want
+    later = spark.createDataFrame([(0, PASSAGE)], "doc_id long, text string")  # ids of later calls count as later
+    assert substring_dedup.remove_copied_windows(later, index_path=place).first()["n_removed"] == 60
+    assert len(substring_dedup.FingerprintIndex.open(spark, place).runs) < 5
+
+
+def test_levels_grow_by_a_bounded_factor():
+    assert substring_dedup._levels(8, 256, 64) == [8]
+    for buckets in (257, 20_000, 5_000_000):
+        levels = substring_dedup._levels(buckets, 256, 64)
+        assert levels[0] == 256 and buckets <= levels[-1] < buckets + levels[-2] and all(b % a == 0 and b // a <= 64 for a, b in zip(levels, levels[1:], strict=False))
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    text = b" ab  cd\n" * 50 + b"x" * 40 + b" y"
+    whole = text.split()
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 16)
+    assert [w for some in substring_dedup._word_lists(text) for w in some] == whole
+
+
 def test_windows_of_equal_fingerprints_are_told_apart():
     h, c = np.array([5, 5, 5, 9], np.uint64), np.array([2, 1, 2, 1], np.uint16)
     order, new = substring_dedup._ordered(h, c)
