@@ -165,23 +165,24 @@ def lean(f):
     return one if len(inspect.signature(f).parameters) == 1 else two
 
 
-def pick(docs: DataFrame, **wanted: str) -> DataFrame:
-    """The named columns under names of our own, so other columns of the input can't clash.
+def place_of(columns: list[str], name: str) -> int:
+    """Where a column stands: the first of exactly this name, else the first that is equal but for the case."""
+    if name in columns:
+        return columns.index(name)
+    folded = [c.lower() for c in columns]
+    if name.lower() in folded:
+        return folded.index(name.lower())
+    raise ValueError(f"there is no column {name} among {columns}")
 
-    Columns are found by exact name where there are several spellings, else by
-    the first that is equal but for the case; the first of equal names is taken.
-    """
-    own = [f"__{i}" for i in range(len(docs.columns))]
-    folded = [c.lower() for c in docs.columns]
 
-    def place(name: str) -> int:
-        if name in docs.columns:
-            return docs.columns.index(name)
-        if name.lower() in folded:
-            return folded.index(name.lower())
-        raise ValueError(f"there is no column {name} among {docs.columns}")
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns named by their places (c0, c1, ...), so that no two names are alike."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
-    return docs.toDF(*own).select(*[F.col(own[place(old)]).alias(new) for new, old in wanted.items()])
+
+def pick(docs: DataFrame, **wanted: str) -> DataFrame:
+    """The named columns (see place_of) under names of our own, so other columns of the input can't clash."""
+    return numbered(docs).select(*[F.col(f"c{place_of(docs.columns, old)}").alias(new) for new, old in wanted.items()])
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:

@@ -24,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import lean, parts, scratch, written
+from lodestar.llm.common import lean, numbered, parts, pick, place_of, scratch, written
 
 #: Text bytes a bucket holds on average; a bucket must fit in a task's memory.
 BUCKET_BYTES = 24 << 20
-_OWN = ("__scatter", "__bucket", "__at")
+#: Up to so many buckets their offsets are broadcast (24 TB of text); beyond that they are joined by a shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def scattered(docs: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,20 +58,21 @@ def scattered(docs: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES, id_c
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The records in random order: columns of the input, shard (int) and slot (long, gapless from 0)."""
-    mixed = scattered(docs.drop("shard", "slot", *_OWN), seed, bucket_bytes, id_col, text_col)
+    names = docs.columns
+    keep = [i for i, n in enumerate(names) if n.lower() not in ("shard", "slot")]
+    own = numbered(docs).select(*[f"c{i}" for i in keep])
+    mixed = scattered(own, seed, bucket_bytes, f"c{place_of(names, id_col)}", f"c{place_of(names, text_col)}")
     counts = sorted((r["__bucket"], r["n"]) for r in mixed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect())  # a number for each bucket
     starts, total = [], 0
     for bucket, n in counts:
         starts.append((bucket, total))
         total += n
-    spark = docs.sparkSession
-    offsets = spark.createDataFrame(starts, "__bucket int, __start long")
+    offsets = docs.sparkSession.createDataFrame(starts, "__bucket int, __start long")
+    if len(starts) <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)  # 12 bytes a bucket, so the texts stay where they are
     place = F.col("__start") + F.col("__at")
-    return (
-        mixed.join(offsets, "__bucket")
-        .withColumns({"shard": F.pmod(place, F.lit(shards)).cast("int"), "slot": F.floor(place / shards).cast("long")})
-        .drop("__bucket", "__start", "__at")
-    )
+    placed = mixed.join(offsets, "__bucket").select(*own.columns, F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+    return placed.toDF(*[names[i] for i in keep], "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
@@ -79,9 +81,10 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def shard_digests(sharded: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return sharded.select(
-        F.col(id_col).alias("doc_id"),
+    own = pick(sharded, doc_id=id_col, text=text_col, shard="shard", slot="slot")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return own.select(
+        "doc_id",
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"),
