@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import lean, pick, worker_state
-from lodestar.llm.pretokens import PieceCache
+from lodestar.llm.pretokens import BYTE_LEVEL, PieceCache
 
 #: Pre-tokens kept encoded per Python worker.
 CACHE_PRETOKENS = 400_000
@@ -67,7 +67,9 @@ class RankVocabulary:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.find = regex.compile(pattern).findall
+        self.cuts = pattern == BYTE_LEVEL  # else no place is proven stable, and texts are encoded whole
+        rule = regex.compile(pattern)
+        self.find = rule.findall if self.cuts else lambda text: [m.group() for m in rule.finditer(text)]
         self.size = max(self.ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * self.size
         for token, rank in self.ranks.items():
@@ -169,9 +171,12 @@ class RankVocabulary:
             known.update([(t, v) for t, v in islice(ids.items(), room) if len(t) <= 48])
         return [b"".join([ids[t] if t in ids else known[t] for t in tokens]) for tokens in split]
 
+    def texts(self, texts: list[str]) -> list[bytes]:
+        return self.cache.texts(texts) if self.cuts else self._encode(texts)
+
     def encode(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
-        return self.cache.texts([text])[0]
+        return self.texts([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -186,14 +191,14 @@ def encode_decode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_
     """doc_id, ids (binary: little-endian unsigned 32-bit), decoded (binary, from the ids) of every row.
 
     The pieces between stable cuts of the byte-level pattern are looked up (see
-    pretokens), so the pattern must be that one. No shuffle.
+    pretokens); with another pattern the pre-tokens of each text are. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(vocab, pattern)
         for batch in batches:
             for part in _slices(batch, 5000):
-                ids = words.cache.texts([t or "" for t in part["text"].to_pylist()])
+                ids = words.texts([t or "" for t in part["text"].to_pylist()])
                 for at in range(0, max(1, len(ids)), 500):
                     some = ids[at : at + 500]
                     back = [words.decode(i) if decode else None for i in some]

@@ -1,11 +1,13 @@
 """Token counts of whole documents by overlap resynchronisation.
 
-A document longer than ``chunk_chars`` is encoded as overlapping chunks, each
-with the character offsets at which its tokens begin. Neighbouring chunks are
-spliced at an offset where both have a token begin and which is proven stable:
-a stable cut (see pretokens), where a token of the whole text begins whatever
-stands around it. If the overlap holds no such offset it is widened, at last
-to the rest of the text, so the sum is always the library's own count.
+A document longer than ``chunk_chars`` is encoded by the library as overlapping
+chunks, each with the character offsets at which its tokens begin. Neighbouring
+chunks are spliced at an offset where both have a token begin and which is proven
+stable: a stable cut (see pretokens), where a token of the whole text begins
+whatever stands around it. If the overlap holds no such offset it is widened, and
+the left chunk with it, at last to the whole text, so the sum is always the
+library's own count. Shorter documents are looked up piece by piece between
+stable cuts.
 
 Null text counts as empty. Empty text has no tokens. Texts in which the string
 of an added token occurs, and tokenizers without the byte-level pattern, are
@@ -17,9 +19,10 @@ from __future__ import annotations
 import array
 import json
 import os
+import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import lean, pick, worker_state
-from lodestar.llm.pretokens import PieceCache, pieces
+from lodestar.llm.pretokens import BYTE_LEVEL, PieceCache
 
-#: The split of byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
+_CUT = re.compile(r" (?=\S)")
 
 
 def packed(ids: list[int]) -> bytes:
@@ -84,7 +86,7 @@ class Library:
         self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.widths[i] = len(token)
-        return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("pieces", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _encode(self, found: list[str]) -> list[bytes]:
         """The packed ids of each piece.
@@ -132,51 +134,62 @@ def library(path: str) -> Library:
 
 
 class Chunk:
-    """A chunk's stable token starts (offsets in the document) and the tokens before each."""
+    """A chunk as the library encodes it: where its tokens begin (offsets in the document, ascending)."""
 
     def __init__(self, lib: Library, text: str, start: int, end: int):
-        cut = pieces(text[start:end])
-        values = lib.cache.values_of(text[start:end])
-        self.starts = [*accumulate(map(len, cut), initial=start)]
-        self.before = [*accumulate((len(v) // 4 for v in values), initial=0)]
-        self.end = self.starts.pop()
+        self.start, self.end = start, end
+        self.starts = [start + a for a, _ in lib.tokenizer.encode(text[start:end], add_special_tokens=False).offsets]
 
-    def tokens(self, a: int, b: int | None = None) -> int:
-        """From the stable start a to the stable start b (the chunk's end)."""
-        return (self.before[-1] if b is None else self.before[self.starts.index(b)]) - self.before[self.starts.index(a)]
+    def before(self, at: int) -> int:
+        """Tokens that begin before an offset of the document."""
+        return bisect_left(self.starts, at)
 
+    def begins(self, at: int) -> bool:
+        """Whether a token begins at a stable cut. Its offset may leave out the leading space."""
+        i = self.before(at)
+        return i < len(self.starts) and self.starts[i] <= at + 1
 
-def count_tokens(lib: Library, text: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
+
+def stable_cuts(text: str, start: int, end: int) -> list[int]:
+    """Offsets of the stable cuts in text[start:end]: spaces that a non-space follows."""
+    return [start + m.start() for m in _CUT.finditer(text[start : end + 1])]
+
+
+def spliced(left: Chunk, right: Chunk, cuts: list[int]) -> int | None:
+    """The middle one of the cuts at which both chunks have a token begin; None if they agree at none."""
+    common = [c for c in cuts if left.begins(c) and right.begins(c)]
+    return common[len(common) // 2] if common else None
+
+
+def count_tokens(lib: Library, text: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[int, int]:
+    """Tokens of the whole text, and the chunks that were encoded for it."""
     if not text:
-        return 0
+        return 0, 1
     if not lib.may_cut(text):
-        return len(lib.whole(text))
+        return len(lib.whole(text)), 1
     if len(text) <= chunk_chars:
-        return len(lib.ids([text])[0]) // 4
-    total, size, start = 0, len(text), 0
+        return len(lib.ids([text])[0]) // 4, 1
+    size, total, encoded = len(text), 0, 1
     left, origin = Chunk(lib, text, 0, min(size, chunk_chars + overlap)), 0
     while left.end < size:
-        start, width = left.end - overlap, overlap
+        width = overlap
         while True:
-            right = Chunk(lib, text, start, min(size, start + chunk_chars + overlap))
-            # the right chunk's first piece may be the tail of another one, the left one's last may go on
-            common = sorted(set(left.starts[1:]) & set(right.starts[1:]))
-            if common:
+            start = max(origin, left.end - width)
+            right = Chunk(lib, text, start, min(size, left.end + chunk_chars))
+            encoded += 1
+            at = spliced(left, right, stable_cuts(text, start + 1, left.end - 1))
+            if at is not None:
                 break
-            if start == 0:  # no stable cut at all: the library has the whole text
-                return len(lib.whole(text))
+            # no proven boundary in the overlap: a wider one, and once it is all of the left chunk, that chunk goes on
             width *= 2
-            start = max(0, left.end - width)
-            if start <= origin:
-                start = origin
-                left = right = Chunk(lib, text, origin, min(size, left.end + width))
-                break
-        if right is left:
-            continue
-        splice = common[len(common) // 2]
-        total += left.tokens(origin, splice)
-        left, origin = right, splice
-    return total + left.tokens(origin)
+            if start == origin:
+                left = Chunk(lib, text, origin, min(size, left.end + width))
+                encoded += 1
+                if left.end == size:
+                    return total + len(left.starts), encoded
+        total += left.before(at) - left.before(origin)
+        left, origin = right, at
+    return total + len(left.starts) - left.before(origin), encoded
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
@@ -189,15 +202,14 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
         lib = library(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            counts = [0] * len(texts)
+            counts, chunks = [0] * len(texts), [1] * len(texts)
             for at in range(0, len(texts), 1000):
                 short = [i for i in range(at, min(at + 1000, len(texts))) if len(texts[i]) <= chunk_chars]
                 for i, ids in zip(short, lib.ids([texts[i] for i in short]), strict=True):
                     counts[i] = len(ids) // 4
             for i, text in enumerate(texts):
                 if len(text) > chunk_chars:
-                    counts[i] = count_tokens(lib, text, chunk_chars, overlap)
-            chunks = [max(1, -(-(len(t) - overlap) // chunk_chars)) if lib.cuts else 1 for t in texts]
+                    counts[i], chunks[i] = count_tokens(lib, text, chunk_chars, overlap)
             sizes = [len(t.encode()) for t in texts]
             yield pa.record_batch([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_()), pa.array(chunks, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks"])
 

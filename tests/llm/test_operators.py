@@ -207,6 +207,26 @@ def test_token_counts(docs, none, library_ids, size):
     assert token_counts.token_counts(none, JSON).count() == 0
 
 
+def test_overlaps_widen_where_no_boundary_is_proven():
+    lib, library = token_counts.Library(JSON), Tokenizer.from_file(JSON)
+    rng = random.Random(11)
+    texts = ["x" * 3000, "ab " * 40 + "y" * 500 + " cd" * 200, "\n" * 700 + "a b " * 100, "".join(rng.choice(["word ", "é", "  ", "7", "\t", "longer-word "]) for _ in range(2000)), "日本語" * 400 + " end"]
+    for chunk, overlap in ((64, 8), (200, 16), (1000, 100)):
+        found = [token_counts.count_tokens(lib, t, chunk, overlap) for t in texts]
+        assert [n for n, _ in found] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    plain, n_chunks = token_counts.count_tokens(lib, "word " * 1000, 500, 50)
+    assert n_chunks == 10 and plain == len(library.encode("word " * 1000, add_special_tokens=False).ids)
+    assert token_counts.count_tokens(lib, "ab " * 40 + "y" * 500 + " cd" * 200, 64, 8)[1] > 14  # the long word took wider overlaps
+
+
+def test_bpe_by_a_pattern_without_stable_cuts():
+    pattern = r"[a-z ]+|[^a-z ]"
+    words = bpe.RankVocabulary(RANKS, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=words.ranks, special_tokens={})
+    for text in ("one two  three 12", "", "  a  b\nc", "é and ü"):
+        assert list(struct.unpack(f"<{len(words.encode(text)) // 4}I", words.encode(text))) == library.encode_ordinary(text)
+
+
 def test_pieces_join_to_the_text():
     rng = random.Random(5)
     for _ in range(500):
