@@ -3,8 +3,8 @@
 Model. Per language the frequencies of letter n-grams (1 to 4, word ends marked),
 hashed into a table of fixed size and smoothed, and the share of its letters in
 each script. It is learned from at most ``sample`` labelled documents of each
-language, those with the smallest hash of their id: whole texts, and a model
-whose size doesn't depend on the corpus.
+language, those with the smallest hashes of id and text: whole texts, and a model
+whose size doesn't depend on the corpus. Rows of equal id and text count once in it.
 
 Prediction. A text is split at white space; a word counts if it has letters. The
 scripts of its letters narrow the candidate languages to those that use them.
@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import crc_fold, lean, pick, worker_state
+from lodestar.llm.common import crc_fold, lean, pick, scratch, worker_state, written
 
 SAMPLE = 600
 TABLE = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PENALTY = 4.0
 CACHE_WORDS = 300_000
+#: Up to so many languages their figures are broadcast.
+BROADCAST_LANGS = 10_000
 #: First code points of ranges of letters and the script that begins there.
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"),
@@ -215,15 +217,23 @@ class Labeller:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from labelled documents, at most ``sample`` of each language (those of the smallest hashes)."""
-    own = pick(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("lang", F.col("lang").cast("string"))
+    """A model from labelled documents, at most ``sample`` of each language (those of the smallest hashes). Nothing is joined but by language."""
+    spark = labelled.sparkSession
+    own = pick(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text", F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id", "text"), 1).alias("u"))
     # a first cut by the hash leaves about three samples of each language, so no task sorts a whole language
-    ids = own.select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h"))
-    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    few = ids.join(F.broadcast(sizes), "lang").where((F.pmod("h", F.lit(1 << 20)) + 1) * F.col("n") <= 3 * sample * (1 << 20))  # sizes: a row for each language
-    by_hash = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "doc_id")
-    chosen = few.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"))
-    texts = own.join(chosen, (own["doc_id"].eqNullSafe(chosen["chosen_id"])) & (own["lang"] == chosen["chosen_lang"])).select("lang", "text")
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", (F.lit(3.0 * sample * 2**63) / F.col("n")).alias("most"))
+    sizes = written(sizes, scratch(spark, "languages"))
+    few_langs = sizes.count() <= BROADCAST_LANGS
+
+    def each(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few_langs else rows  # a row for each language
+
+    few = own.select("lang", "u").join(each(sizes), "lang").where("u <= most").select("lang", "u").distinct()
+    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u")))
+    cut = ranked.where(F.col("k") <= sample).groupBy("lang").agg(F.max("u").alias("cut"))
+    cut = written(cut, scratch(spark, "languages"))
+    # rows of equal id and text are one: a hot row is no larger a part of the sample than any other
+    texts = own.join(each(cut), "lang").where("u <= cut").groupBy("lang", "u").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """n-gram and script counts of the partition, a sparse row for each language."""

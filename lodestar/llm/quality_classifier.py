@@ -14,9 +14,11 @@ power of its similarity; class sizes in the sample are evened out.
 
 Defined results: null text counts as empty; an empty text has its own term and
 gets a score like any other; without labelled rows, or with one class only, the
-score is 0.5 or that class; ties between neighbours go by their place in the
-sample; documents with several label rows count once for each; rows are never
-dropped and repeated rows each have their own result.
+score is 0.5 or that class; similarities are compared to six decimals and ties
+between neighbours go by their place in the sample (ids in order, as strings); a
+document with several labels has the highest, one with several texts that of the
+smallest hash; rows are never dropped and repeated rows each have their own
+result.
 """
 
 from __future__ import annotations
@@ -125,16 +127,17 @@ class Voters:
         if not len(self.vectors):
             return np.full(len(rows), 0.5)
         cosine = self._unit(_dense(rows, self.weight) @ self.axes) @ self.vectors.T
-        k = min(self.neighbours, cosine.shape[1])
-        # whole order by (similarity, place) only among those at least as similar as the k-th
-        near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if cosine.shape[1] <= 4 * k else self._nearest(cosine, k)
+        near = self._nearest(np.round(cosine, 6), min(self.neighbours, cosine.shape[1]))
         similar = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3) ** self.power * self.vote[near]
         return (similar * self.labels[near]).sum(axis=1) / similar.sum(axis=1)
 
     @staticmethod
     def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
-        some = np.sort(np.argpartition(-cosine, k - 1, axis=1)[:, :k], axis=1)
-        return some
+        """The k most similar of each row, in the order of their places; among equals at the edge the first places."""
+        edge = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        above, equal = cosine > edge, cosine == edge
+        left = k - above.sum(axis=1, keepdims=True)
+        return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= left)))[1].reshape(-1, k)
 
 
 def _leading(matrix: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
@@ -150,8 +153,8 @@ def _leading(matrix: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK, neighbours: int = NEIGHBOURS, power: float = POWER, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Voters:
     """The voters: at most ``sample`` labelled documents, those with the smallest hashes of their ids."""
-    marked = pick(labels, label_id=id_col, label=label_col).where("label IN (0, 1)").withColumn("label", F.col("label").cast("int"))
-    chosen = marked.where("label_id IS NOT NULL").orderBy(F.xxhash64(F.lit(11), "label_id"), "label_id", "label").limit(sample)
+    marked = pick(labels, label_id=id_col, label=label_col).where("label_id IS NOT NULL AND label IN (0, 1)")
+    chosen = marked.groupBy("label_id").agg(F.max(F.col("label").cast("int")).alias("label")).orderBy(F.xxhash64(F.lit(11), "label_id"), "label_id").limit(sample)
     own = pick(docs, doc_id=id_col, text=text_col)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
             yield pa.record_batch([batch["doc_id"].cast(pa.string()), batch["label"], pa.array([r[0].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f8").tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "cells", "counts"])
 
     texts = own.join(F.broadcast(chosen), own["doc_id"] == chosen["label_id"]).select("doc_id", "text", "label")  # at most `sample` ids
-    found = sorted(texts.mapInArrow(terms, "doc_id string, label int, cells binary, counts binary").limit(4 * sample).collect(), key=lambda r: (r["doc_id"], r["label"], r["cells"]))
+    one = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # so at most `sample` rows, whatever repeats
+    found = sorted(one.select("doc_id", "text", "label").mapInArrow(lean(terms), "doc_id string, label int, cells binary, counts binary").collect(), key=lambda r: r["doc_id"])
     rows = [(np.frombuffer(r["cells"], "<i8"), np.frombuffer(r["counts"], "<f8")) for r in found]
     return Voters(rows, np.array([r["label"] for r in found], int), rank, neighbours, power)
 

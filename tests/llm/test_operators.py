@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import random
 import re
 import struct
@@ -432,12 +433,47 @@ def test_votes_equal_brute_force():
     rows = [terms.of(t) for t in texts]
     labels = rng.integers(0, 2, 80)
     voters = quality_classifier.Voters(rows, labels, 8, 5, 8.0)
-    cosine = voters.vectors @ voters.vectors.T
+    cosine = np.round(voters.vectors @ voters.vectors.T, 6)
     got = voters.scores(rows)
+    ties = 0
     for i in range(80):
         best = sorted(range(80), key=lambda j: (-cosine[i, j], j))[:5]
-        fifth = cosine[i, best[-1]]
-        if sum(np.isclose(cosine[i], fifth, atol=1e-5)) > 1:
-            continue  # a tie at the edge
+        ties += sum(cosine[i] == cosine[i, best[-1]]) > 1
         weight = np.maximum(cosine[i, best], 1e-3) ** 8.0 * voters.vote[best]
         assert abs(got[i] - (weight * labels[best]).sum() / weight.sum()) < 1e-3
+    assert ties
+
+
+def test_ties_go_by_place():
+    rng = np.random.default_rng(3)
+    cosine = np.round(rng.random((300, 40)), 1)
+    want = [sorted(sorted(range(40), key=lambda j: (-row[j], j))[:7]) for row in cosine]
+    assert quality_classifier.Voters._nearest(cosine, 7).tolist() == want
+
+
+SF = "/root/testdata/sf0.01"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are absent")
+
+
+@needs_tables
+def test_held_out_quality(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    found = quality_classifier.score_with_folds(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    right = sum(r["predicted"] == r["quality"] for r in found) / len(found)
+    assert len(found) > 50 and right >= 0.93, right
+
+
+@needs_tables
+def test_held_out_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = language_id.predict_with_folds(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    right = sum(r["lang_pred"] == r["lang"] for r in found) / len(found)
+    assert len(found) > 100 and right >= 0.95, right
+
+
+def test_hot_rows_without_an_id_count_once_in_the_language_sample(spark):
+    made = [(None, "aaa bbb", "en")] * 300 + [(i, f"ccc ddd{i}", "en") for i in range(50)]
+    model = language_id.train(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    assert model.langs == ["en"]
+    table = language_id.train(spark.createDataFrame(made[299:], "doc_id long, text string, lang string"))
+    assert np.allclose(model.log, table.log)
