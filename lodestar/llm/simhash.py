@@ -13,8 +13,8 @@ BK-tree (children keyed by their integer Hamming distance to the parent) and
 each of them is looked up by following only the edges within the radius. Trees
 travel with their shard in the shuffle: broadcasting them would first gather the
 fingerprints of the whole corpus on the driver. A shard with more than
-``tree_rows`` fingerprints is cut into several trees, and its queries are
-replicated to each of them, so no tree grows with the input.
+``tree_rows`` fingerprints is cut again by blocks of its remaining bits, which is
+exact by the same argument and bounds every tree and its queries.
 
 Copies. Equal texts have equal fingerprints, so trees see each fingerprint once
 and a group of copies costs one row. A shard answers with a spanning forest of
@@ -36,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import lean, pick, remove, scratch, written
@@ -162,24 +162,11 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def _links(shard: np.ndarray, role: np.ndarray, fps: np.ndarray, more: np.ndarray | None, radius: int, more_radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in whole shards. role 0: node and query, 1: node only, 2: query only."""
-    nodes = np.flatnonzero(role < 2)
-    if not len(nodes):
-        return fps[:0], fps[:0]
-    forest = Forest(fps[nodes], shard[nodes])
-    asks = np.flatnonzero(role != 1)
-    place = np.searchsorted(shard[nodes], shard[asks])
-    known = (place < len(nodes)) & (shard[nodes][np.minimum(place, len(nodes) - 1)] == shard[asks])
-    asks, place = asks[known], place[known]
-    union = Union(len(fps))
-    for q, node in forest.search(fps[asks], forest.root[place], radius):
-        a, b = asks[q], nodes[node]
-        keep = a != b
-        if more is not None:
-            keep &= np.bitwise_count(more[a] ^ more[b]).sum(axis=1) <= more_radius
-        a, b = a[keep], b[keep]
-        pairs = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
+def _links(shard: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in whole shards, which stand one after the other."""
+    forest, union = Forest(fps, shard), Union(len(fps))
+    for a, b in forest.search(fps, forest.root, radius):
+        pairs = np.unique(np.minimum(a, b)[a != b] * len(fps) + np.maximum(a, b)[a != b])
         for x, y in zip((pairs // len(fps)).tolist(), (pairs % len(fps)).tolist(), strict=True):
             union.join(x, y)
     root = np.array([union.find(i) for i in range(len(fps))])
@@ -187,50 +174,55 @@ def _links(shard: np.ndarray, role: np.ndarray, fps: np.ndarray, more: np.ndarra
     return joined, root[joined]
 
 
-def _block_masks(blocks: int) -> list[int]:
-    edges = np.linspace(0, 64, blocks + 1).astype(int)
-    return [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges, edges[1:], strict=False)]
+def block_masks(bits: list[int], blocks: int, radius: int) -> list[int]:
+    """The masks of every choice of blocks - radius of the blocks that the bits are cut into."""
+    edges = np.linspace(0, len(bits), blocks + 1).astype(int)
+    masks = [sum(1 << x for x in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(masks[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
-def shard_keys(blocks: int, radius: int) -> list[int]:
-    """The bit masks of every choice of blocks - radius blocks."""
-    masks = _block_masks(blocks)
-    return [sum(masks[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+def _masked(fp: Column, mask: Column) -> Column:
+    return F.xxhash64(fp.bitwiseAND(mask))
+
 
+def _literals(masks: list[int]) -> Column:
+    return F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
 
-def links(fps: DataFrame, radius: int, blocks: int, more: list[str] | None = None, more_radius: int = 0, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """a, b: links between node numbers of fps (node, fp and the columns of ``more``), at least a spanning forest.
 
-    ``node`` names a row; rows have distinct (fp, more). With ``more``, a link also
-    needs those 64-bit columns to differ in at most ``more_radius`` bits altogether.
+def shards(fps: DataFrame, radius: int, blocks: int, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """node, fp, shard: every two fingerprints within the radius share a shard.
+
+    A shard with more than ``tree_rows`` fingerprints is cut again by blocks of its
+    remaining bits. With four blocks and a radius of two, 64 bits leave 32 and
+    then 16 open, so a shard has at most 65,536 fingerprints whatever the input.
     """
     if blocks <= radius:
         raise ValueError("more blocks than the radius are needed")
-    more = more or []
-    masks = shard_keys(blocks, radius)
-    chosen = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m - (1 << 64) if m >> 63 else m).cast("long").alias("m")) for i, m in enumerate(masks)]))
-    keyed = fps.select("node", "fp", *more, chosen.alias("k")).select("node", "fp", *more, F.xxhash64(F.col("k.i"), F.col("fp").bitwiseAND(F.col("k.m"))).alias("shard"))
-    # large shards: several trees, and every query goes to each of them
-    large = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_rows).withColumn("trees", F.ceil(F.col("n") / tree_rows).cast("int"))
+    masks = block_masks(list(range(64)), blocks, radius)
+    inner = [block_masks([x for x in range(64) if not m >> x & 1], blocks, radius) for m in masks]
+    keyed = fps.select("node", "fp", F.posexplode(_literals(masks)).alias("i", "m")).select("node", "fp", "i", "m", F.xxhash64("i", _masked(F.col("fp"), F.col("m"))).alias("shard"))
+    large = written(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_rows).select("shard", F.lit(True).alias("large")), scratch(fps.sparkSession, "large"))
+    if large.isEmpty():
+        return keyed.select("node", "fp", "shard")
     marked = keyed.join(large, "shard", "left")
-    tree = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("trees")).cast("int")
-    spread = F.when(F.col("trees").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("trees") - 1))
-    rows = marked.withColumn("own", F.coalesce(tree, F.lit(0))).withColumn("tree", F.explode(spread)).select(
-        F.xxhash64("shard", "tree").alias("shard"), F.when(F.col("tree") == F.col("own"), 0).otherwise(2).cast("int").alias("role"), "node", "fp", *more
-    )
+    small = marked.where("large IS NULL").select("node", "fp", "shard")
+    finer = F.get(F.array(*[_literals(x) for x in inner]), F.col("i"))
+    again = marked.where("large").select("node", "fp", "shard", F.posexplode(finer).alias("j", "more"))
+    return small.unionByName(again.select("node", "fp", F.xxhash64("shard", "j", _masked(F.col("fp"), F.col("more"))).alias("shard")))
+
+
+def links(fps: DataFrame, radius: int, blocks: int, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """a, b: links between node numbers of fps (node, fp; distinct fp), at least a spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _whole_shards(batches):
-            shard = held["shard"].to_numpy()
-            fp = held["fp"].to_numpy().view(np.uint64)
-            extra = np.stack([held[c].to_numpy().view(np.uint64) for c in more], axis=1) if more else None
-            _, shard = np.unique(shard, return_inverse=True)
-            a, b = _links(shard, held["role"].to_numpy(), fp, extra, radius, more_radius)
+            _, shard = np.unique(held["shard"].to_numpy(), return_inverse=True)
+            a, b = _links(shard, held["fp"].to_numpy().view(np.uint64), radius)
             if len(a):
                 node = held["node"].to_numpy()
                 yield pa.record_batch([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(run), "a long, b long")
+    return shards(fps, radius, blocks, tree_rows).repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(run), "a long, b long")
 
 
 def _whole_shards(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:

@@ -83,6 +83,19 @@ def test_groups_equal_brute_force(texts, groups):
     assert as_groups(groups) == brute_groups(texts)
 
 
+def test_large_shards_and_groups_give_the_same(spark):
+    rng = random.Random(8)
+    family, chain = prose(rng, 120), prose(rng, 200)
+    made = [" ".join(edited(rng, family, "replaced", 0.005)) for _ in range(40)]
+    made += [" ".join(chain[k : k + 120]) for k in range(0, 60, 4)]  # each like the next, the first unlike the last
+    made += [" ".join(prose(rng, 50)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    want = brute_groups(made)
+    assert len(want) == 22
+    for how in ({}, {"shard_rows": 5, "group_rows": 6}):
+        assert as_groups({r["key"]: r["root"] for r in near_copies.near_copies(docs, **how).collect()}) == want
+
+
 def test_blocks_of_a_large_group_meet(spark):
     rng = random.Random(4)
     words = prose(rng, 100)
