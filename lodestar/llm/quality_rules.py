@@ -3,10 +3,10 @@
 Per document: words, their characters, symbol characters, repeated lines and
 words in repeated 8-word windows. Two base rules reject by these alone. The rest
 are judged by the minimum-covariance-determinant method within their language
-and source: the statistics are transformed to a vector, the location and scatter
-of the least scattered three quarters of a group are found by concentration
-steps from a median start, and a vector is rejected if its Mahalanobis distance
-from there is beyond a high quantile of what the group's own core would give.
+and source: the statistics are transformed to a vector; from several starts,
+concentration steps look for the three quarters of a group whose covariance has
+the smallest determinant, until it falls no more; a vector is rejected if its
+Mahalanobis distance from there is beyond six deviations of the core.
 
 Only deviations that mark bad text count: more symbols, more repetition, more
 shouting than the group's core, or words much longer or shorter than its words.
@@ -33,10 +33,13 @@ from lodestar.llm.common import pick, scratch, written
 
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-#: Share of a group that the core holds, and concentration steps from the median start.
-CORE, STEPS = 0.75, 4
+#: Share of a group that the core holds, starts, concentration steps at most, and the fall of a log determinant that counts as none.
+CORE, STARTS, MOST_STEPS, LEAST_FALL = 0.75, 3, 12, 1e-3
+ACCURACY = 1000
 LEAST_ROWS = 60
-#: The transformed statistics and the least standard deviation each is taken to have.
+#: Up to so many groups their figures are broadcast.
+BROADCAST_GROUPS = 10_000
+#: The transformed statistics and the standard deviation of the ridge of each.
 VECTOR = {"x_symbols": 0.04, "x_lines": 0.12, "x_repeats": 0.15, "x_upper": 0.05, "x_length": 0.35}
 #: Squared distance beyond which a vector is an outlier, in units of the core's: six deviations.
 CUTOFF = 36.0
@@ -105,24 +108,35 @@ def _groups(table: DataFrame, least_rows: int) -> DataFrame:
     return sizes.join(langs, "g_lang").select("g_lang", "g_source", F.when(F.col("n") >= least_rows, own).when(F.col("n_lang") >= least_rows, F.concat_ws("\x01", F.lit("l"), "g_lang")).otherwise("all").alias("g"))
 
 
-def _moments(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """g, m_i, and the lower Cholesky factor l_i_j of the covariance of each group's rows.
+def _each(small: DataFrame) -> DataFrame:
+    """A written table with a few rows a group, broadcast if there are few groups."""
+    return F.broadcast(small) if small.count() <= BROADCAST_GROUPS else small
 
-    Standard deviations are at least those of VECTOR, so a group whose core is
-    all alike still has a scatter.
+
+def _shapes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, m_i, the lower Cholesky factor l_i_j of each group's covariance, and its log determinant.
+
+    The covariance has one ridge: the squares of VECTOR on its diagonal, so a group
+    whose rows are all alike still has a scatter.
     """
+    dims, ridge = list(VECTOR), [x**2 for x in VECTOR.values()]
     pairs = [(i, j) for i in range(len(dims)) for j in range(i + 1)]
-    got = rows.groupBy("g").agg(*[F.avg(d).alias(f"m_{i}") for i, d in enumerate(dims)], *[F.avg(F.col(dims[i]) * F.col(dims[j])).alias(f"p_{i}_{j}") for i, j in pairs])
-    floor = list(VECTOR.values())
+    got = rows.groupBy(*by).agg(*[F.avg(d).alias(f"m_{i}") for i, d in enumerate(dims)], *[F.avg(F.col(dims[i]) * F.col(dims[j])).alias(f"p_{i}_{j}") for i, j in pairs])
     cov = {(i, j): F.col(f"p_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}") for i, j in pairs}
-    out = got.select("g", *[f"m_{i}" for i in range(len(dims))], *[(cov[i, j] + (F.lit(floor[i] ** 2) if i == j else F.lit(0.0))).alias(f"c_{i}_{j}") for i, j in pairs])
+    out = got.select(*by, *[f"m_{i}" for i in range(len(dims))], *[(F.greatest(cov[i, i], F.lit(0.0)) + ridge[i] if i == j else cov[i, j]).alias(f"c_{i}_{j}") for i, j in pairs])
     for j in range(len(dims)):  # column by column
         done = reduce(lambda a, b: a + b, [F.col(f"l_{j}_{k}") ** 2 for k in range(j)], F.lit(0.0))
-        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(F.col(f"c_{j}_{j}") - done, F.lit(floor[j] ** 2))))
+        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(F.col(f"c_{j}_{j}") - done, F.lit(1e-12))))  # against rounding alone
         for i in range(j + 1, len(dims)):
             cross = reduce(lambda a, b: a + b, [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)], F.lit(0.0))
             out = out.withColumn(f"l_{i}_{j}", (F.col(f"c_{i}_{j}") - cross) / F.col(f"l_{j}_{j}"))
-    return out.select("g", *[f"m_{i}" for i in range(len(dims))], *[f"l_{i}_{j}" for i, j in pairs])
+    log_det = reduce(lambda a, b: a + b, [2 * F.log(f"l_{i}_{i}") for i in range(len(dims))])
+    return out.select(*by, *_shape_columns(), log_det.alias("log_det"))
+
+
+def _shape_columns() -> list[str]:
+    n = len(VECTOR)
+    return [f"m_{i}" for i in range(n)] + [f"l_{i}_{j}" for i in range(n) for j in range(i + 1)]
 
 
 def _distance(dims: list[str], one_sided: bool) -> list[tuple[str, Column]]:
@@ -141,28 +155,57 @@ def _distance(dims: list[str], one_sided: bool) -> list[tuple[str, Column]]:
     return steps
 
 
-def _measured(rows: DataFrame, shape: DataFrame, dims: list[str]) -> DataFrame:
-    out = rows.join(shape, "g")
-    for name, value in _distance(dims, one_sided=False):
+def _measured(rows: DataFrame, shape: DataFrame, by: list[str]) -> DataFrame:
+    """rows, for each shape of their group, with by and the squared distance d2. shape: a written table."""
+    out = rows.join(_each(shape), "g")
+    for name, value in _distance(list(VECTOR), one_sided=False):
         out = out.withColumn(name, value)
-    return out.select(*rows.columns, "d2")
+    return out.select(*by, *VECTOR, "d2")
+
 
+def _concentrated(measured: DataFrame, by: list[str], core: float, path: str) -> DataFrame:
+    """A concentration step: the shapes of the core, the nearest rows of each group."""
+    spark = measured.sparkSession
+    cut = written(measured.groupBy(*by).agg(F.percentile_approx("d2", core, ACCURACY).alias("cut")), scratch(spark, "cut"))
+    return written(_shapes(measured.join(_each(cut), by).where("d2 <= cut"), by), path)
 
-def outlier_shapes(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """g, m_*, l_*, scale: the core's location, Cholesky factor and the consistency factor of its distances."""
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """g, s and shapes: the rows next to the median, and those of two tenths dealt by their values; a tenth of none takes all rows."""
     spark, dims = rows.sparkSession, list(VECTOR)
-    medians = rows.groupBy("g").agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"m_{i}") for i, d in enumerate(dims)])
-    start = rows.join(medians, "g").withColumn("d2", reduce(lambda a, b: a + b, [((F.col(d) - F.col(f"m_{i}")) / VECTOR[d]) ** 2 for i, d in enumerate(dims)])).select(*rows.columns, "d2")
-    measured, shape = start, None
-    for _ in range(steps):
-        cut = measured.groupBy("g").agg(F.percentile_approx("d2", core, 1000).alias("cut"))
-        shape = written(_moments(measured.join(cut, "g").where("d2 <= cut"), dims), scratch(spark, "shape"))
-        measured = _measured(rows, shape, dims)
+    medians = written(rows.groupBy("g").agg(*[F.percentile_approx(d, 0.5, ACCURACY).alias(f"m_{i}") for i, d in enumerate(dims)]), scratch(spark, "medians"))
+    off = reduce(lambda a, b: a + b, [((F.col(d) - F.col(f"m_{i}")) / VECTOR[d]) ** 2 for i, d in enumerate(dims)])
+    near = rows.join(_each(medians), "g").withColumn("d2", off).select("g", F.lit(0).alias("s"), *dims, "d2")
+    first = _concentrated(near, ["g", "s"], CORE, scratch(spark, "start"))
+    dealt = F.pmod(F.xxhash64(*dims), F.lit(10))
+    tenths = rows.withColumn("s", F.explode(F.filter(F.array(*[F.when(dealt == k, k) for k in range(1, STARTS)]), lambda x: x.isNotNull())))
+    return first.unionByName(written(_shapes(tenths, ["g", "s"]), scratch(spark, "start")))
+
+
+def outlier_shapes(rows: DataFrame, core: float = CORE, most_steps: int = MOST_STEPS) -> DataFrame:
+    """g, m_*, l_*, scale: location and Cholesky factor of the smallest determinant found, and the consistency factor of its distances.
+
+    Every start takes two concentration steps; the one with the smallest
+    determinant goes on until no group's determinant falls any more. A step costs
+    two passes over the narrow vectors, pre-aggregated in every task.
+    """
+    spark, by = rows.sparkSession, ["g", "s"]
+    shape = written(_starts(rows), scratch(spark, "shape"))
+    for _ in range(2):
+        shape = _concentrated(_measured(rows, shape, by), by, core, scratch(spark, "shape"))
+    best = F.min(F.struct("log_det", "s", *_shape_columns())).alias("best")
+    shape = written(shape.groupBy("g").agg(best).select("g", "best.log_det", *[f"best.{c}" for c in _shape_columns()]), scratch(spark, "shape"))
+    for _ in range(most_steps - 2):
+        after = _concentrated(_measured(rows, shape, ["g"]), ["g"], core, scratch(spark, "shape"))
+        fallen = shape.select("g", F.col("log_det").alias("before")).join(after.select("g", "log_det"), "g").agg(F.max(F.col("before") - F.col("log_det")).alias("x")).first()["x"]
+        shape = after
+        if fallen is None or fallen < LEAST_FALL:
+            break
     # distances are scaled so that their median is that of the chi-square law, never down
-    p = len(dims)
+    p = len(VECTOR)
     median = p * (1 - 2 / (9 * p)) ** 3
-    scale = measured.groupBy("g").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / F.lit(median), F.lit(1.0)).alias("scale"))
-    return shape.join(scale, "g")
+    scale = _measured(rows, shape, ["g"]).groupBy("g").agg(F.greatest(F.percentile_approx("d2", 0.5, ACCURACY) / F.lit(median), F.lit(1.0)).alias("scale"))
+    return shape.drop("log_det").join(scale, "g")
 
 
 def _keyed(stats: DataFrame) -> DataFrame:
@@ -179,14 +222,14 @@ def _fitted(table: DataFrame, least_rows: int) -> DataFrame:
     spark = table.sparkSession
     sound = table.where(~F.col("base_failed"))
     groups = written(_groups(sound, least_rows), scratch(spark, "groups"))
-    rows = sound.join(groups, ["g_lang", "g_source"]).select("g", *VECTOR)
+    rows = sound.join(_each(groups), ["g_lang", "g_source"]).select("g", *VECTOR)
     shape = written(outlier_shapes(rows), scratch(spark, "shape"))
-    return groups.join(shape, "g").drop("g")
+    return written(groups.join(shape, "g").drop("g"), scratch(spark, "fitted"))
 
 
 def _judged(table: DataFrame, fitted: DataFrame, cutoff: float) -> DataFrame:
     """The table with distance and kept."""
-    out = table.join(fitted, ["g_lang", "g_source"], "left")  # groups whose rows all fail the base rules have no shape
+    out = table.join(_each(fitted), ["g_lang", "g_source"], "left")  # groups whose rows all fail the base rules have no shape
     for name, value in _distance(list(VECTOR), one_sided=True):
         out = out.withColumn(name, value)
     distance = F.when(~F.col("base_failed"), F.sqrt(F.col("d2") / F.col("scale")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -16,6 +17,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestar.llm import bpe, exact_digest, language_id, packing, pretokens, quality_classifier, quality_rules, sharding, simhash, substring_dedup, token_counts
@@ -24,6 +26,8 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `chunk` int, fp string, `n_words` int"
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.01"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are absent")
 PASSAGE = " ".join(f"word{i}" for i in range(60))
 
 
@@ -414,6 +418,60 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(r["kept"] == (r["doc_id"] < 1000) for r in got)
 
 
+def brute_determinants(x, core=0.75):
+    """Mean, Cholesky factor and scale of a group's rows by the same starts and steps."""
+    ridge = np.diag(np.array(list(quality_rules.VECTOR.values())) ** 2)
+
+    def quantile(v, p):
+        return np.sort(v)[max(0, math.ceil(p * len(v)) - 1)]
+
+    def shape(y):
+        mean = y.mean(axis=0)
+        low = np.linalg.cholesky(y.T @ y / len(y) - np.outer(mean, mean) + ridge)
+        return 2 * np.log(np.diag(low)).sum(), mean, low
+
+    def step(found):
+        d2 = (np.linalg.solve(found[2], (x - found[1]).T) ** 2).sum(axis=0)
+        return shape(x[d2 <= quantile(d2, core)])
+
+    median = np.array([quantile(c, 0.5) for c in x.T])
+    d2 = (((x - median) / np.sqrt(np.diag(ridge))) ** 2).sum(axis=1)
+    starts = [shape(x[d2 <= quantile(d2, core)])]
+    return starts, shape, step, quantile
+
+
+@needs_tables
+def test_the_verdict_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
+    got = quality_rules.judge(docs).collect()
+    stats = quality_rules.vectors(quality_rules.statistics(docs)).withColumn("tenth", F.pmod(F.xxhash64(*quality_rules.VECTOR), F.lit(10))).toPandas()
+    stats["failed"] = (stats.n_words < 20) | (100 * stats.n_repeat_words > 30 * stats.n_words)
+    stats["pair"] = stats["lang"].fillna("") + "/" + stats["source"].fillna("")
+    sound = stats[~stats.failed]
+    many, langs = sound.groupby("pair").size(), sound.groupby(sound["lang"].fillna("")).size()
+    key = [p if many[p] >= 60 else lang if langs[lang] >= 60 else "all" for p, lang in zip(sound["pair"], sound["lang"].fillna(""), strict=True)]
+    kept, p = {}, len(quality_rules.VECTOR)
+    sides = np.array([d != "x_length" for d in quality_rules.VECTOR])
+    for g in set(key):
+        own = sound[[k == g for k in key]]
+        x = own[list(quality_rules.VECTOR)].to_numpy()
+        starts, shape, step, quantile = brute_determinants(x)
+        starts += [shape(x[own["tenth"] == k]) for k in (1, 2) if (own["tenth"] == k).any()]
+        found = min((step(step(s)) for s in starts), key=lambda s: s[0])
+        for _ in range(10):
+            after = step(found)
+            fallen, found = found[0] - after[0], after
+        d2 = (np.linalg.solve(found[2], (x - found[1]).T) ** 2).sum(axis=0)
+        scale = max(quantile(d2, 0.5) / (p * (1 - 2 / (9 * p)) ** 3), 1.0)
+        off = x - found[1]
+        off = np.where(sides & (off < 0), 0.0, off)
+        far = (np.linalg.solve(found[2], off.T) ** 2).sum(axis=0)
+        kept |= dict(zip(own["doc_id"], (far <= 36.0 * scale).tolist(), strict=True))
+        assert fallen < 1e-3
+    assert len(set(key)) > 1 and 0 < sum(not k for k in kept.values())
+    assert {r["doc_id"]: r["kept"] for r in got} == {d: kept.get(d, False) for d in stats["doc_id"]}
+
+
 # -- 10
 
 
@@ -451,10 +509,6 @@ def test_ties_go_by_place():
     assert quality_classifier.Voters._nearest(cosine, 7).tolist() == want
 
 
-SF = "/root/testdata/sf0.01"
-needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are absent")
-
-
 @needs_tables
 def test_held_out_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
