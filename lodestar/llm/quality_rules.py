@@ -108,9 +108,9 @@ def _groups(table: DataFrame, least_rows: int) -> DataFrame:
     return sizes.join(langs, "g_lang").select("g_lang", "g_source", F.when(F.col("n") >= least_rows, own).when(F.col("n_lang") >= least_rows, F.concat_ws("\x01", F.lit("l"), "g_lang")).otherwise("all").alias("g"))
 
 
-def _each(small: DataFrame) -> DataFrame:
-    """A written table with a few rows a group, broadcast if there are few groups."""
-    return F.broadcast(small) if small.count() <= BROADCAST_GROUPS else small
+def _each(small: DataFrame, few: bool) -> DataFrame:
+    """A table with a few rows a group, broadcast if there are few groups."""
+    return F.broadcast(small) if few else small
 
 
 def _shapes(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -127,9 +127,11 @@ def _shapes(rows: DataFrame, by: list[str]) -> DataFrame:
     for j in range(len(dims)):  # column by column
         done = reduce(lambda a, b: a + b, [F.col(f"l_{j}_{k}") ** 2 for k in range(j)], F.lit(0.0))
         out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(F.col(f"c_{j}_{j}") - done, F.lit(1e-12))))  # against rounding alone
+        below = {}
         for i in range(j + 1, len(dims)):
             cross = reduce(lambda a, b: a + b, [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)], F.lit(0.0))
-            out = out.withColumn(f"l_{i}_{j}", (F.col(f"c_{i}_{j}") - cross) / F.col(f"l_{j}_{j}"))
+            below[f"l_{i}_{j}"] = (F.col(f"c_{i}_{j}") - cross) / F.col(f"l_{j}_{j}")
+        out = out.withColumns(below) if below else out
     log_det = reduce(lambda a, b: a + b, [2 * F.log(f"l_{i}_{i}") for i in range(len(dims))])
     return out.select(*by, *_shape_columns(), log_det.alias("log_det"))
 
@@ -155,56 +157,56 @@ def _distance(dims: list[str], one_sided: bool) -> list[tuple[str, Column]]:
     return steps
 
 
-def _measured(rows: DataFrame, shape: DataFrame, by: list[str]) -> DataFrame:
-    """rows, for each shape of their group, with by and the squared distance d2. shape: a written table."""
-    out = rows.join(_each(shape), "g")
+def _measured(rows: DataFrame, shape: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """rows, for each shape of their group, with by and the squared distance d2."""
+    out = rows.join(_each(shape, few), "g")
     for name, value in _distance(list(VECTOR), one_sided=False):
         out = out.withColumn(name, value)
     return out.select(*by, *VECTOR, "d2")
 
 
-def _concentrated(measured: DataFrame, by: list[str], core: float, path: str) -> DataFrame:
+def _concentrated(measured: DataFrame, by: list[str], core: float, few: bool) -> DataFrame:
     """A concentration step: the shapes of the core, the nearest rows of each group."""
-    spark = measured.sparkSession
-    cut = written(measured.groupBy(*by).agg(F.percentile_approx("d2", core, ACCURACY).alias("cut")), scratch(spark, "cut"))
-    return written(_shapes(measured.join(_each(cut), by).where("d2 <= cut"), by), path)
+    cut = measured.groupBy(*by).agg(F.percentile_approx("d2", core, ACCURACY).alias("cut"))
+    return _shapes(measured.join(_each(cut, few), by).where("d2 <= cut"), by)
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """g, s and shapes: the rows next to the median, and those of two tenths dealt by their values; a tenth of none takes all rows."""
-    spark, dims = rows.sparkSession, list(VECTOR)
-    medians = written(rows.groupBy("g").agg(*[F.percentile_approx(d, 0.5, ACCURACY).alias(f"m_{i}") for i, d in enumerate(dims)]), scratch(spark, "medians"))
+def _starts(rows: DataFrame, core: float, few: bool) -> DataFrame:
+    """g, s and shapes: of the rows next to the median, and of two tenths dealt by their values (none for a tenth without rows)."""
+    dims = list(VECTOR)
+    medians = rows.groupBy("g").agg(*[F.percentile_approx(d, 0.5, ACCURACY).alias(f"m_{i}") for i, d in enumerate(dims)])
     off = reduce(lambda a, b: a + b, [((F.col(d) - F.col(f"m_{i}")) / VECTOR[d]) ** 2 for i, d in enumerate(dims)])
-    near = rows.join(_each(medians), "g").withColumn("d2", off).select("g", F.lit(0).alias("s"), *dims, "d2")
-    first = _concentrated(near, ["g", "s"], CORE, scratch(spark, "start"))
-    dealt = F.pmod(F.xxhash64(*dims), F.lit(10))
-    tenths = rows.withColumn("s", F.explode(F.filter(F.array(*[F.when(dealt == k, k) for k in range(1, STARTS)]), lambda x: x.isNotNull())))
-    return first.unionByName(written(_shapes(tenths, ["g", "s"]), scratch(spark, "start")))
+    near = rows.join(_each(medians, few), "g").withColumn("d2", off).select("g", F.lit(0).alias("s"), *dims, "d2")
+    tenth = F.pmod(F.xxhash64(*dims), F.lit(10)).cast("int")
+    tenths = rows.withColumn("s", tenth).where(F.col("s").between(1, STARTS - 1))
+    return _concentrated(near, ["g", "s"], core, few).unionByName(_shapes(tenths, ["g", "s"]))
 
 
-def outlier_shapes(rows: DataFrame, core: float = CORE, most_steps: int = MOST_STEPS) -> DataFrame:
+def outlier_shapes(rows: DataFrame, core: float = CORE, most_steps: int = MOST_STEPS, few: bool = True) -> DataFrame:
     """g, m_*, l_*, scale: location and Cholesky factor of the smallest determinant found, and the consistency factor of its distances.
 
     Every start takes two concentration steps; the one with the smallest
     determinant goes on until no group's determinant falls any more. A step costs
-    two passes over the narrow vectors, pre-aggregated in every task.
+    two passes over the narrow vectors, pre-aggregated in every task. few: there
+    are few enough groups to broadcast their figures.
     """
     spark, by = rows.sparkSession, ["g", "s"]
-    shape = written(_starts(rows), scratch(spark, "shape"))
+    shape = written(_starts(rows, core, few), scratch(spark, "shape"))
     for _ in range(2):
-        shape = _concentrated(_measured(rows, shape, by), by, core, scratch(spark, "shape"))
+        shape = written(_concentrated(_measured(rows, shape, by, few), by, core, few), scratch(spark, "shape"))
     best = F.min(F.struct("log_det", "s", *_shape_columns())).alias("best")
-    shape = written(shape.groupBy("g").agg(best).select("g", "best.log_det", *[f"best.{c}" for c in _shape_columns()]), scratch(spark, "shape"))
+    shape = shape.groupBy("g").agg(best).select("g", "best.log_det", *[f"best.{c}" for c in _shape_columns()])
     for _ in range(most_steps - 2):
-        after = _concentrated(_measured(rows, shape, ["g"]), ["g"], core, scratch(spark, "shape"))
-        fallen = shape.select("g", F.col("log_det").alias("before")).join(after.select("g", "log_det"), "g").agg(F.max(F.col("before") - F.col("log_det")).alias("x")).first()["x"]
-        shape = after
+        before = shape.select("g", F.col("log_det").alias("before"))
+        shape = written(_concentrated(_measured(rows, shape, ["g"], few), ["g"], core, few).join(_each(before, few), "g"), scratch(spark, "shape"))
+        fallen = shape.agg(F.max(F.col("before") - F.col("log_det")).alias("x")).first()["x"]
+        shape = shape.drop("before")
         if fallen is None or fallen < LEAST_FALL:
             break
     # distances are scaled so that their median is that of the chi-square law, never down
     p = len(VECTOR)
     median = p * (1 - 2 / (9 * p)) ** 3
-    scale = _measured(rows, shape, ["g"]).groupBy("g").agg(F.greatest(F.percentile_approx("d2", 0.5, ACCURACY) / F.lit(median), F.lit(1.0)).alias("scale"))
+    scale = _measured(rows, shape, ["g"], few).groupBy("g").agg(F.greatest(F.percentile_approx("d2", 0.5, ACCURACY) / F.lit(median), F.lit(1.0)).alias("scale"))
     return shape.drop("log_det").join(scale, "g")
 
 
@@ -217,19 +219,19 @@ def _keyed(stats: DataFrame) -> DataFrame:
     return vectors(stats).withColumns({"g_lang": named("lang"), "g_source": named("source"), "base_failed": base_failed()})
 
 
-def _fitted(table: DataFrame, least_rows: int) -> DataFrame:
-    """g_lang, g_source with the location, Cholesky factor and scale that judge them: a row for each language and source."""
+def _fitted(table: DataFrame, least_rows: int) -> tuple[DataFrame, bool]:
+    """g_lang, g_source with the location, Cholesky factor and scale that judge them: a row for each language and source; and whether those are few."""
     spark = table.sparkSession
     sound = table.where(~F.col("base_failed"))
     groups = written(_groups(sound, least_rows), scratch(spark, "groups"))
-    rows = sound.join(_each(groups), ["g_lang", "g_source"]).select("g", *VECTOR)
-    shape = written(outlier_shapes(rows), scratch(spark, "shape"))
-    return written(groups.join(shape, "g").drop("g"), scratch(spark, "fitted"))
+    few = groups.count() <= BROADCAST_GROUPS
+    rows = sound.join(_each(groups, few), ["g_lang", "g_source"]).select("g", *VECTOR)
+    return written(groups.join(outlier_shapes(rows, few=few), "g").drop("g"), scratch(spark, "fitted")), few
 
 
-def _judged(table: DataFrame, fitted: DataFrame, cutoff: float) -> DataFrame:
+def _judged(table: DataFrame, fitted: DataFrame, few: bool, cutoff: float) -> DataFrame:
     """The table with distance and kept."""
-    out = table.join(_each(fitted), ["g_lang", "g_source"], "left")  # groups whose rows all fail the base rules have no shape
+    out = table.join(_each(fitted, few), ["g_lang", "g_source"], "left")  # groups whose rows all fail the base rules have no shape
     for name, value in _distance(list(VECTOR), one_sided=True):
         out = out.withColumn(name, value)
     distance = F.when(~F.col("base_failed"), F.sqrt(F.col("d2") / F.col("scale")))
@@ -239,7 +241,7 @@ def _judged(table: DataFrame, fitted: DataFrame, cutoff: float) -> DataFrame:
 def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The statistics of every row, base_failed, distance (null if the base rules failed) and kept."""
     table = written(_keyed(statistics(docs, id_col, text_col, lang_col, source_col)), scratch(docs.sparkSession, "statistics"))
-    found = _judged(table, _fitted(table, least_rows), cutoff)
+    found = _judged(table, *_fitted(table, least_rows), cutoff)
     return found.drop("g_lang", "g_source", *VECTOR)
 
 
@@ -247,5 +249,5 @@ def keep_sound(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_
     """The documents that judge keeps, all columns as they are. The texts are read and written once and not shuffled."""
     carry = {f"__c{i}": c for i, c in enumerate(docs.columns)}
     table = written(_keyed(statistics(docs, id_col, text_col, lang_col, source_col, carry)), scratch(docs.sparkSession, "statistics"))
-    found = _judged(table, _fitted(table.drop(*carry), least_rows), cutoff)
+    found = _judged(table, *_fitted(table.drop(*carry), least_rows), cutoff)
     return found.where("kept").select(*[F.col(k).alias(c) for k, c in carry.items()])
