@@ -36,6 +36,7 @@ and not earlier than each other. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import uuid
@@ -75,22 +76,30 @@ _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class WordDigests:
-    """128 bits of BLAKE2b for each word, as two halves that know nothing of each other. Words seen in this worker are looked up."""
+    """128 bits of BLAKE2b for each word, as two halves that know nothing of each other.
+
+    Words seen in this worker are looked up. The frequent ones come first; once
+    the cache is full the rest is digested each time.
+    """
 
     def __init__(self):
         self.place: dict[bytes, int] = {}
-        self.halves = np.zeros((0, 2), np.uint64)
+        self.halves = np.zeros((CACHE_WORDS, 2), np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.place)
-        if len(self.place) + len(new) > CACHE_WORDS:
-            self.place.clear()
-            self.halves, new = self.halves[:0], set(words)
-        if new:
+        at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        out, missing = self.halves[at], np.flatnonzero(at < 0)
+        if len(missing):
+            unseen = [words[i] for i in missing.tolist()]
+            new = dict.fromkeys(unseen)
             made = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in new]), "<u8").reshape(-1, 2)
-            self.place.update(zip(new, range(len(self.halves), len(self.halves) + len(new)), strict=True))
-            self.halves = np.concatenate([self.halves, made])
-        return self.halves[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+            new = dict(zip(new, range(len(made)), strict=True))
+            out[missing] = made[np.fromiter(map(new.__getitem__, unseen), np.int64, len(unseen))]
+            size = len(self.place)
+            room = min(CACHE_WORDS - size, len(made))
+            self.halves[size : size + room] = made[:room]
+            self.place.update(zip(itertools.islice(new, room), range(size, size + room), strict=True))
+        return out
 
 
 def _windows(halves: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
