@@ -26,6 +26,8 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--audit", action="store_true")
     run.add_argument("--full-hash", action="store_true")
     run.add_argument("--strict", action="store_true")
+    run.add_argument("--no-ocr", action="store_true")
+    run.add_argument("--ocr-limit", type=int)
     ask = sub.add_parser("ask")
     ask.add_argument("question", nargs="?")
     ask.add_argument("--collection", required=True)
@@ -35,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("--contains")
     ask.add_argument("--show-context", action="store_true")
     ask.add_argument("--json", action="store_true")
+    ask.add_argument("--llm", help="a backend of the settings, or none")
     dup = sub.add_parser("dedup")
     dup.add_argument("--source", action="append")
     dup.add_argument("--output", required=True)
@@ -46,8 +49,11 @@ def parser() -> argparse.ArgumentParser:
 def _ask(spark: SparkSession, args, settings: Settings) -> int:
     from lodestar.functions.embedding import hashing_encoder
     from lodestar.plans.question import answer_question
-    from lodestar.sources import snapshots
+    from lodestar.sources import engines, snapshots
 
+    model, doubt = engines.select_model(settings.other, args.llm)
+    if doubt:
+        print(f"warning: {doubt}", file=sys.stderr)
     chunks = snapshots.current(spark, args.collection)
     if chunks is None or chunks.isEmpty():
         print("the collection is missing or empty", file=sys.stderr)
@@ -57,7 +63,7 @@ def _ask(spark: SparkSession, args, settings: Settings) -> int:
         if args.interactive and question in ("", "exit", "quit"):
             break
         probe = hashing_encoder()([question])[0].tolist() if question.strip() else None
-        found = answer_question(chunks, question, probe, settings, None, args.top_k, args.min_score, args.contains)
+        found = answer_question(chunks, question, probe, settings, model, args.top_k, args.min_score, args.contains)
         print(found.as_json() if args.json else found.as_text(args.show_context))
         for w in found.warnings:
             print(f"warning: {w}", file=sys.stderr)
@@ -65,6 +71,17 @@ def _ask(spark: SparkSession, args, settings: Settings) -> int:
     return code
 
 
+def _recognition(settings: Settings, limit: int | None):
+    """The engines of the settings that can be used here; None if OCR is off."""
+    from lodestar.operators.ocr import engines_for
+    from lodestar.plans.recognise import Recognition, usable
+    from lodestar.sources import engines
+
+    local, api = engines.LocalOcr(settings.ocr_languages), engines.ApiOcr(settings.ocr_api_url, settings.ocr_api_model, settings.other.get("ocr_api_key_env", ""))
+    wanted = engines_for(settings.ocr_backend, local, api)
+    return Recognition(usable(wanted), engines.PdfRenderer(settings.ocr_dpi), settings, limit, settings.other.get("ocr_cache_path")) if wanted else None
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     settings = load(args.config) if args.config else Settings()
@@ -80,7 +97,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "ingest":
         ignored = files.ignore_list(spark, args.ignore_list) if args.ignore_list else None
         try:
-            run = ingest.ingest(spark, settings, args.manifest, args.collection, ignored, args.dry_run or args.audit, args.full_hash, args.strict)
+            dry = args.dry_run or args.audit
+            ocr = None if dry or args.no_ocr else _recognition(settings, args.ocr_limit)
+            run = ingest.ingest(spark, settings, args.manifest, args.collection, ignored, dry, args.full_hash, args.strict, ocr=ocr, sources_overridden=bool(args.source))
         except files.ManifestVersionError as e:
             print(e, file=sys.stderr)
             return 1
@@ -93,16 +112,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in scan.extension_histogram(listing).orderBy(F.desc("n"), "ext").toLocalIterator():
             print(f"{r['n']:>8}  {r['ext']}")
         return 0
-    from lodestar.functions import hashing
     from lodestar.sources import readers
 
-    wanted = listing.where(F.lower(scan.suffix(F.col("name"))).isin(".txt", ".md", ".docx", ".pdf"))
-    names = [r["uri"] for r in wanted.select("uri").toLocalIterator()]
-    pages = readers.extract_pages(spark.read.format("binaryFile").load(names).select("path", "content")).where("page_idx IS NOT NULL") if names else spark.createDataFrame([], readers.PAGES)
-    whole = pages.groupBy(F.col("path").alias("uri")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    joined = wanted.join(whole, "uri", "left")
-    sig = F.when(F.col("text").isNotNull(), hashing.text_signature(F.col("text"), F.col("size"), settings.signature_prefix_chars)).otherwise(hashing.path_signature(F.col("size"), F.col("path")))
-    lost = dedup.ignore_list(joined.select("path", sig.alias("signature"))).orderBy("path")
+    wanted = listing.where(F.lower(scan.suffix(F.col("name"))).isin(".txt", ".md", ".docx", ".pdf")).dropDuplicates(["path"])
+    content = files.contents(spark, wanted).join(wanted.select("uri", F.col("path").alias("name")), "uri").select(F.col("name").alias("path"), "content")
+    signed = dedup.file_signatures(wanted, readers.extract_pages(content), settings.signature_prefix_chars)
+    lost = dedup.ignore_list(signed).orderBy("path")
     with open(args.output, "w", encoding="utf-8") as out:
         json.dump([r["path"] for r in lost.toLocalIterator()], out, ensure_ascii=False, indent=1)
     return 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +14,31 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def _occurrences(terms_column: str, word: str) -> Column:
-    return F.size(F.filter(terms_column, lambda x: x == word))
+_PART = r"[\p{L}\p{N}]"
+
+
+def _occurrences(text: Column, word: str) -> Column:
+    """How often a lower-cased text has a word among its terms. Texts without its letters aren't searched."""
+    alone = F.lit(f"(?<!{_PART}){re.escape(word)}(?!{_PART})")
+    return F.when(text.contains(word), F.regexp_count(text, alone)).otherwise(0)
 
 
 def bm25(chunks: DataFrame, query_terms: list[str], top_k: int, k1: float = 1.5, b: float = 0.75, key: str = "chunk_id") -> DataFrame:
-    """key, score, rank of the best chunks for some words.
+    """key, score, rank of the best chunks for some words; none without words.
 
-    Only the asked words are counted, inside each row, so nothing is exploded:
-    one pass for document frequencies and the mean length, one for the scores.
+    Only the asked words are counted, inside each row, so nothing is split or
+    exploded: one pass for document frequencies and the mean length, and one over
+    the rows that hold a word, for the scores.
     """
-    words = list(dict.fromkeys(w.lower() for w in query_terms))
-    split = chunks.select(key, terms(F.col("text")).alias("ts"))
-    counted = split.select(key, F.size("ts").alias("dl"), *[_occurrences("ts", w).alias(f"tf_{i}") for i, w in enumerate(words)])
-    whole = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(words))])
-    scored = counted.where(" OR ".join(f"tf_{i} > 0" for i in range(len(words)))).join(whole, F.lit(True))
+    words = [w for w in dict.fromkeys(w.lower() for w in query_terms) if w]
+    low = chunks.select(key, F.lower("text").alias("low"))
+    if not words:
+        return low.select(key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    counts = [_occurrences(F.col("low"), w).alias(f"tf_{i}") for i, w in enumerate(words)]
+    length = F.regexp_count("low", F.lit(f"{_PART}+")).alias("dl")
+    whole = low.select(length, *counts).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(words))])
+    may = reduce(lambda x, y: x | y, [F.col("low").contains(w) for w in words])
+    scored = low.where(may).select(key, length, *counts).where(" OR ".join(f"tf_{i} > 0" for i in range(len(words)))).join(F.broadcast(whole), F.lit(True))  # one row
     score = F.lit(0.0)
     for i in range(len(words)):
         tf, df = F.col(f"tf_{i}"), F.col(f"df_{i}")
@@ -35,11 +48,16 @@ def bm25(chunks: DataFrame, query_terms: list[str], top_k: int, k1: float = 1.5,
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-def fused(lists: list[DataFrame], top_k: int, constant: int = 60, key: str = "chunk_id") -> DataFrame:
-    """key, rrf, rank: the sum of 1 / (constant + rank) over ranked lists (key, rank)."""
+def fused(lists: list[DataFrame], top_k: int, constant: int = 60, key: str = "chunk_id", chunks: DataFrame | None = None, contains: str | None = None) -> DataFrame:
+    """key, rrf, rank: the sum of 1 / (constant + rank) over ranked lists (key, rank).
+
+    contains: of the fused list only chunks (key, text) with this substring stay.
+    """
     both = lists[0].select(key, "rank")
     for other in lists[1:]:
         both = both.unionByName(other.select(key, "rank"))
+    if contains and chunks is not None:
+        both = both.join(chunks.where(F.col("text").contains(contains)).select(key), key, "left_semi")
     top = both.groupBy(key).agg(F.sum(1.0 / (constant + F.col("rank"))).alias("rrf")).orderBy(F.desc("rrf"), key).limit(top_k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rrf"), key)))
 

@@ -46,10 +46,15 @@ def text_layers(pages: DataFrame, least: int, blank: int) -> DataFrame:
     return pages.groupBy("path").agg(F.count(F.lit(1)).alias("n_pages"), F.sum(n).alias("chars"), (F.sum(n) / F.count(F.lit(1)) >= least).alias("has_text_layer"), F.count_if(n < blank).alias("blank_pages"))
 
 
-def candidates(pages: DataFrame, least: int, per_file: int) -> DataFrame:
-    """Numbered pages with too little text: the first per_file of each file, numbered by ``nth``."""
+def numbered_candidates(pages: DataFrame, least: int) -> DataFrame:
+    """Numbered pages with too little text, counted within their file by ``nth``."""
     nth = F.row_number().over(Window.partitionBy("path").orderBy("page"))
-    return pages.where(F.col("page").isNotNull() & needs_ocr(F.col("text"), least)).withColumn("nth", nth).where(F.col("nth") <= per_file)
+    return pages.where(F.col("page").isNotNull() & needs_ocr(F.coalesce("text", F.lit("")), least)).withColumn("nth", nth)
+
+
+def candidates(pages: DataFrame, least: int, per_file: int) -> DataFrame:
+    """The first per_file of numbered_candidates."""
+    return numbered_candidates(pages, least).where(F.col("nth") <= per_file)
 
 
 def admitted(wanted: DataFrame, budget: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from lodestar.functions.text import ustrip
 
 #: Types cited by sheet name.
 SHEET_TYPES = ("xlsx", "xlsm", "xls", "csv")
+#: Probes that are broadcast at a time.
+PROBE_BLOCK = 10_000
 
 
 def pool_size(top_k: int, factor: int = 4, cap: int = 100) -> int:
@@ -32,10 +36,17 @@ def top_hits(chunks: DataFrame, probe: list[float], top_k: int | None = None, mi
 
 
 def top_hits_of_each(chunks: DataFrame, probes: DataFrame, top_k: int, key: str = "chunk_id") -> DataFrame:
-    """qid, key, score, rank for many probes (qid, probe). The probes are a stated query set, spread to every chunk."""
+    """qid, key, score, rank for many probes (qid, probe).
+
+    The probes are a stated query set: blocks of PROBE_BLOCK of them are broadcast
+    to every chunk. Each task keeps the best of each probe before anything is shuffled.
+    """
     unit = chunks.select(key, F.col("embedding").alias("e"), vectors.norm(F.col("embedding")).alias("n")).where("n > 0")
     asked = probes.select("qid", F.col("probe").alias("q"), vectors.norm(F.col("probe")).alias("m")).where("m > 0")
-    scored = unit.join(asked, F.lit(True)).select("qid", key, (vectors.dot(F.col("e"), F.col("q")) / (F.col("n") * F.col("m"))).alias("score"))
+    blocks = max(1, -(-asked.count() // PROBE_BLOCK))
+    of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    met = reduce(DataFrame.unionByName, [unit.crossJoin(F.broadcast(asked.where(of == i) if blocks > 1 else asked)) for i in range(blocks)])
+    scored = met.select("qid", key, (vectors.dot(F.col("e"), F.col("q")) / (F.col("n") * F.col("m"))).alias("score"))
     by = Window.partitionBy("qid").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
 

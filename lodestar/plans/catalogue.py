@@ -6,6 +6,7 @@ Earlier snapshots, states and the like are derived from the ids by remainders.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.config import Settings
 from lodestar.functions import hashing, text, vectors
 from lodestar.operators import changes, chunking, dedup, hybrid, ocr, reports, retrieval, scan, store
+from lodestar.plans import recognise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -311,6 +313,18 @@ def ocr_budget(spark, sf_dir):
     return ocr.admitted(ocr.candidates(turn_pages(spark, sf_dir), 120, 2), 40).select("path", "page", "admitted")
 
 
+@query(
+    f"""{_PAGES}, cand AS (SELECT path, page, row_number() OVER (PARTITION BY path ORDER BY page) AS nth FROM pages WHERE length(trim(text)) < 120),
+    k AS (SELECT path, page, CASE WHEN nth > 2 THEN 'capped' WHEN page % 2 = 0 AND path::BIGINT % 3 > 0 THEN 'cached' ELSE 'read' END AS kind FROM cand)
+    SELECT path, page, CASE WHEN kind = 'read' AND row_number() OVER (PARTITION BY kind ORDER BY path, page) > 40 THEN 'deferred' ELSE kind END AS plan FROM k"""
+)
+def ocr_plan(spark, sf_dir):
+    p = turn_pages(spark, sf_dir).withColumns({"content_hash": F.lit("h"), "fingerprint": F.lit("f2")})
+    cache = p.where("page % 2 = 0 AND CAST(path AS BIGINT) % 3 > 0").select("path", "page", "content_hash", "fingerprint", F.concat("text", F.lit("!")).alias("text"))
+    settings = dataclasses.replace(DEFAULTS, ocr_min_chars_per_page=120, ocr_max_pages_per_file=2)
+    return recognise.planned(p, cache, settings, 40).select("path", "page", "plan")
+
+
 _READ = """WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN left(text, 150) ELSE text END AS p, (conv_id + turn) % 5 = 0 AS pf, text || ' more' AS e, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE turn % 4 <> 1 END AS ok FROM conversations),
 s AS (SELECT *, CASE WHEN pf THEN '' ELSE p END AS f FROM r), t AS (SELECT *, ok IS NOT NULL AND (pf OR length(trim(f)) < 200) AS escalated FROM s)"""
 
@@ -372,21 +386,27 @@ def block_split(spark, sf_dir):
     return chunking.line_blocks(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), body.alias("text")))
 
 
-_CHUNKS = """WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
-s AS (SELECT doc_id, CASE WHEN length(t) <= 1200 THEN [t] ELSE string_split(regexp_replace(t, '([.;:!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS l FROM d WHERE t <> ''),
-j(doc_id, l, i, cur, done) AS (
-  SELECT doc_id, l, 1, l[1], NULL::VARCHAR FROM s
-  UNION ALL SELECT doc_id, l, i + 1, CASE WHEN i >= len(l) THEN NULL WHEN length(cur) + 1 + length(l[i + 1]) <= 1200 THEN cur || ' ' || l[i + 1] ELSE l[i + 1] END, CASE WHEN i < len(l) AND length(cur) + 1 + length(l[i + 1]) <= 1200 THEN NULL ELSE cur END FROM j WHERE i <= len(l)),
-jj AS (SELECT doc_id, i, done FROM j WHERE done IS NOT NULL),
-p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS n, substr(done, (k * 1200 + 1)::BIGINT, 1200) AS piece FROM (SELECT doc_id, i, done, unnest(range(0, greatest(1, (length(done) + 1199) // 1200))) AS k FROM jj)),
-pl AS (SELECT doc_id, list(piece ORDER BY n) AS l FROM p GROUP BY doc_id),
-f(doc_id, l, i, buf, done) AS (
-  SELECT doc_id, l, 1, l[1], NULL::VARCHAR FROM pl
-  UNION ALL SELECT doc_id, l, i + 1, CASE WHEN i >= len(l) THEN NULL WHEN length(buf) + 1 + length(l[i + 1]) <= 1200 OR length(buf) < 200 THEN buf || chr(10) || l[i + 1] ELSE right(buf, 200) || chr(10) || l[i + 1] END, CASE WHEN i < len(l) AND (length(buf) + 1 + length(l[i + 1]) <= 1200 OR length(buf) < 200) THEN NULL ELSE buf END FROM f WHERE i <= len(l)),
-c AS (SELECT doc_id, i, regexp_replace(done, '^\\s+|\\s+$', '', 'g') AS t FROM f WHERE done IS NOT NULL),
+_TEXT = "'intro text' || chr(10) || 'Rule ' || doc_id || '.1 general' || chr(10) || coalesce(text, '') || chr(10) || '12. Payment of dues' || chr(10) || ' tail '"
+_CHUNKS = f"""WITH RECURSIVE given AS (SELECT doc_id, string_split({_TEXT}, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM given),
+h AS (SELECT *, regexp_full_match(line, '\\s*(?:(?i:(?:section|rule|regulation|clause|article|chapter|part|schedule|annexure|form|order|notification|circular)\\b.{{0,80}})|[A-Z][A-Z0-9 ,&()/.\\-]{{6,}}|\\d+(?:\\.\\d+)*[.)]\\s+\\S.{{5,}})\\s*') AS head FROM l),
+b AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM h),
+d AS (SELECT doc_id, block, CASE WHEN bool_or(head) THEN left(trim(min_by(line, i)), 120) END AS heading, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS t FROM b GROUP BY doc_id, block),
+s AS (SELECT doc_id, block, CASE WHEN length(t) <= 1200 THEN [t] ELSE string_split(regexp_replace(t, '([.;:!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS l FROM d WHERE t <> ''),
+j(doc_id, block, l, i, cur, done) AS (
+  SELECT doc_id, block, l, 1, l[1], NULL::VARCHAR FROM s
+  UNION ALL SELECT doc_id, block, l, i + 1, CASE WHEN i >= len(l) THEN NULL WHEN length(cur) + 1 + length(l[i + 1]) <= 1200 THEN cur || ' ' || l[i + 1] ELSE l[i + 1] END, CASE WHEN i < len(l) AND length(cur) + 1 + length(l[i + 1]) <= 1200 THEN NULL ELSE cur END FROM j WHERE i <= len(l)),
+jj AS (SELECT doc_id, block, i, done FROM j WHERE done IS NOT NULL),
+p AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY block, i, k) AS n, substr(done, (k * 1200 + 1)::BIGINT, 1200) AS piece FROM (SELECT doc_id, block, i, done, unnest(range(0, greatest(1, (length(done) + 1199) // 1200))) AS k FROM jj)),
+pl AS (SELECT doc_id, list(piece ORDER BY n) AS l, list(coalesce(heading, '') ORDER BY n) AS hs FROM p JOIN d USING (doc_id, block) GROUP BY doc_id),
+f(doc_id, l, hs, i, buf, sec, done, was) AS (
+  SELECT doc_id, l, hs, 1, l[1], hs[1], NULL::VARCHAR, NULL::VARCHAR FROM pl
+  UNION ALL SELECT doc_id, l, hs, i + 1, CASE WHEN i >= len(l) THEN NULL WHEN goes THEN buf || chr(10) || l[i + 1] ELSE right(buf, 200) || chr(10) || l[i + 1] END, CASE WHEN goes THEN sec ELSE hs[i + 1] END, CASE WHEN i < len(l) AND goes THEN NULL ELSE buf END, sec
+  FROM (SELECT *, length(buf) + 1 + length(l[i + 1]) <= 1200 OR length(buf) < 200 AS goes FROM f) WHERE i <= len(l)),
+c AS (SELECT doc_id, i, was, regexp_replace(done, '^\\s+|\\s+$', '', 'g') AS t FROM f WHERE done IS NOT NULL),
 g AS (SELECT *, sum(CASE WHEN length(t) >= 200 OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM c)),
-m AS (SELECT doc_id, grp, string_agg(t, chr(10) ORDER BY i) AS text FROM g GROUP BY doc_id, grp),
-n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS chunk, text FROM m WHERE trim(text) <> '')"""
+m AS (SELECT doc_id, grp, min_by(was, i) AS section, string_agg(t, chr(10) ORDER BY i) AS text FROM g GROUP BY doc_id, grp),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS chunk, section, text FROM m WHERE trim(text) <> '')"""
 
 
 def _chunks(spark, sf_dir):
@@ -395,13 +415,13 @@ def _chunks(spark, sf_dir):
     return chunking.chunk_pages(pages, DEFAULTS), f
 
 
-# documents have no heading lines but capital ones, which the recursive SQL doesn't cut at: those texts are lowered on both sides
-@query(_CHUNKS.replace("regexp_replace(text,", "regexp_replace(lower(text),", 1) + """ SELECT doc_id, chunk::INT AS chunk, md5(text) AS text_md5 FROM n""")
+@query(_CHUNKS + """ SELECT doc_id, chunk::INT AS chunk, section, md5(text) AS text_md5 FROM n""")
 def chunk_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    pages = d.select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("page_idx"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("label"), F.lower("text").alias("text"))
+    whole = F.concat(F.lit("intro text\nRule "), F.col("doc_id").cast("string"), F.lit(".1 general\n"), F.coalesce("text", F.lit("")), F.lit("\n12. Payment of dues\n tail "))
+    pages = d.select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("page_idx"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("label"), whole.alias("text"))
     made = chunking.numbered(chunking.chunk_pages(pages, DEFAULTS))
-    return made.select(F.col("path").cast("long").alias("doc_id"), "chunk", F.md5("text").alias("text_md5"))
+    return made.select(F.col("path").cast("long").alias("doc_id"), "chunk", F.coalesce("section", F.lit("")).alias("section"), F.md5("text").alias("text_md5"))
 
 
 _CUTS = f"""{_FILES}, cut AS (SELECT path, root, content_hash, unnest(range(0, (length(text) + 999) // 1000)) AS chunk, text FROM files), rows AS (SELECT left(sha1(concat_ws('|', path, content_hash, chunk::VARCHAR)), 20) AS chunk_id, path AS source, root, chunk::INT AS chunk, count(*) OVER (PARTITION BY path)::INT AS chunk_total, substr(text, chunk * 1000 + 1, 1000) AS text FROM cut)"""

@@ -106,21 +106,34 @@ def hashed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return rows.join(content, "uri", "left").withColumn("content_hash", F.coalesce("content_hash", empty))
 
 
-def scan_sources(spark: SparkSession, settings: Settings, previous: DataFrame | None = None, ignored: DataFrame | None = None, full_hash: bool = False) -> tuple[DataFrame, dict]:
-    """The entries of all readable files, and the counters and lists of the scan."""
+def scan_sources(spark: SparkSession, settings: Settings, previous: DataFrame | None = None, ignored: DataFrame | None = None, full_hash: bool = False) -> tuple[DataFrame, dict, dict[str, DataFrame]]:
+    """The entries of all files, the counters of the scan, and what it met: locks, overlap, stale, unreadable.
+
+    A file that can't be read has an entry without a hash: an error that later runs try again.
+    """
     found, missing = listing(spark, list(settings.docs_source))
+    found = found.cache()
     locks = scan.is_lock_file(F.col("name"), settings.lock_file_patterns)
     wanted = found.where(~locks & F.lower(scan.suffix(F.col("name"))).isin(*settings.file_types))
     single = scan.first_root_wins(wanted)
     kept = scan.without_ignored(single, ignored) if ignored is not None else single
     old = previous if previous is not None else spark.createDataFrame([], MANIFEST)
     marked = scan.unchanged_or_hashed(kept, old, full_hash)
+    if "embedding_fingerprint" in marked.columns:
+        model = hashing.embedding_fingerprint(F.lit(settings.embedding_model))
+        marked = marked.withColumn("embedding_fingerprint", scan.backfilled_fingerprint(F.col("status"), F.col("embedding_fingerprint"), model))
     fresh = hashed(spark, marked.where("NOT carry").drop("content_hash"))
     entries = marked.where("carry").drop("carry").unionByName(fresh.drop("carry"))
     offline = scan.kept_offline(old, entries, spark.createDataFrame([(m,) for m in missing], "root string"))
+    met = {
+        "locks": found.where(locks).select("path"),
+        "overlap": wanted.groupBy("abs_path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "stale": scan.stale_ignores(single, ignored) if ignored is not None else spark.createDataFrame([], "path string"),
+        "unreadable": entries.where("content_hash IS NULL").select("path"),
+    }
     counters = {
         "unreachable": missing,
-        "lock_files": found.where(locks).count(),
+        "lock_files": met["locks"].count(),
         "overlap": wanted.count() - single.count(),
         "ignored": single.count() - kept.count(),
         "kept_offline": offline.count(),
@@ -129,7 +142,7 @@ def scan_sources(spark: SparkSession, settings: Settings, previous: DataFrame |
     for frame_name in columns:
         if frame_name not in entries.columns:
             entries = entries.withColumn(frame_name, F.lit(None).cast(old.schema[frame_name].dataType))
-    return entries.select(*columns).unionByName(offline.select(*columns)), counters
+    return entries.select(*columns).unionByName(offline.select(*columns)), counters, met
 
 
 def ignore_list(spark: SparkSession, path: str) -> DataFrame:

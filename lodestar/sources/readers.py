@@ -50,6 +50,10 @@ def _lines(rows: Iterator[list], most: int) -> tuple[str, int]:
     return "\n".join(out), dropped
 
 
+def _cap_note(sheet: str, dropped: int, most: int) -> list[str]:
+    return [f"sheet {sheet}: {dropped} row(s) dropped beyond {most}"] if dropped else []
+
+
 def _text(content: bytes, most: int) -> list[Page]:
     return [(None, None, content.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))]
 
@@ -95,16 +99,16 @@ def _xlsx(content: bytes, most: int) -> list[Page]:
         return out
 
     pages: list[Page] = []
-    left = 0
+    notes: list[str] = []
     for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"):
         target = targets[sheet.get(f"{_REL}id")].lstrip("/")
         target = target if target.startswith("xl/") else f"xl/{target}"
         body, dropped = _lines((cells(r) for r in ElementTree.fromstring(book.read(target)).iter(f"{_SHEET}row")), most)
-        left += dropped
+        notes += _cap_note(sheet.get("name"), dropped, most)
         if body:
             pages.append((None, sheet.get("name"), body))
-    if left:
-        raise Capped(pages, f"{left} row(s) dropped beyond {most}")
+    if notes:
+        raise Capped(pages, "; ".join(notes))
     return pages
 
 
@@ -122,10 +126,14 @@ def _xls(content: bytes, most: int) -> list[Page]:
     except ImportError as e:
         raise Unsupported("no library for old spreadsheets is installed") from e
     pages: list[Page] = []
+    notes: list[str] = []
     for sheet in xlrd.open_workbook(file_contents=content).sheets():
-        body, _ = _lines((sheet.row_values(i) for i in range(sheet.nrows)), most)
+        body, dropped = _lines((sheet.row_values(i) for i in range(sheet.nrows)), most)
+        notes += _cap_note(sheet.name, dropped, most)
         if body:
             pages.append((None, sheet.name, body))
+    if notes:
+        raise Capped(pages, "; ".join(notes))
     return pages
 
 
