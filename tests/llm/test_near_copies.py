@@ -1,10 +1,13 @@
 """Near copies against brute force over all pairs."""
 
+import collections
+import os
 import random
 from itertools import combinations
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import near_copies, simhash
 
@@ -124,3 +127,20 @@ def test_groups_of_a_shared_id_stay_apart(spark):
     docs = spark.createDataFrame([(7, a), (7, b), (3, a), (9, b)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
     assert got == [(3, 3), (7, 3), (7, 7), (9, 7)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are absent")
+def test_recall_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    found = {r["node"]: r["root"] for r in near_copies.near_copies(docs).collect()}
+    node = {r["doc_id"]: r["node"] for r in near_copies.own_texts(docs, "doc_id", "text").select(F.col("key").alias("doc_id"), "node").collect()}
+    sets = [(r["doc_id"], shingles(r["text"])) for r in rows]
+    holders = collections.defaultdict(set)
+    for i, (_, s) in enumerate(sets):
+        for x in s:
+            holders[x].add(i)
+    pairs = {p for h in holders.values() if 1 < len(h) < 400 for p in combinations(sorted(h), 2)}
+    near = [(sets[a][0], sets[b][0]) for a, b in pairs if 9 * len(sets[a][1] & sets[b][1]) >= 4 * (len(sets[a][1]) + len(sets[b][1]))]
+    linked = sum(found[node[a]] == found[node[b]] for a, b in near)
+    assert len(near) > 20 and linked >= 0.99 * len(near), (linked, len(near))

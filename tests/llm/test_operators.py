@@ -190,6 +190,40 @@ def test_packing(docs, none, library_ids):
     assert packing.pack(none, JSON).count() == 0
 
 
+@needs_tables
+def test_padding_is_little(spark):
+    placed = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), JSON, capacity=1024, ids=False)
+    tokens, sequences = placed.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert 1024 * sequences <= 1.01 * tokens
+
+
+def test_columns_that_differ_in_case(spark):
+    df = spark.createDataFrame([(1, "wrong", "one two three", 9)], "doc_id long, TEXT string, text string, DOC_ID long")
+    assert token_counts.token_counts(df, JSON).first()["n_bytes"] == 13
+    got = sharding.shard_digests(sharding.shard(df)).first()
+    assert (got["doc_id"], got["size"]) == (1, 21)
+    assert [(r["doc_id"], r["n_words"]) for r in substring_dedup.remove_copied_windows(df).collect()] == [(1, 3)]
+    assert exact_digest.fingerprint_edits(df).first()["n_chars"] == 13
+
+
+def test_ids_at_the_ends_of_the_range(spark):
+    low, high = -(2**63), 2**63 - 1
+    df = spark.createDataFrame([(low, PASSAGE), (high, PASSAGE), (2**62, "other words"), (None, PASSAGE)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_copied_windows(df).collect()} == {low: 0, high: 60, 2**62: 0, None: 60}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == {low: low, high: low, 2**62: 2**62, None: low}
+    assert {r["doc_id"] for r in exact_digest.fingerprint_edits(df).collect()} == {low, high, 2**62, None}
+
+
+def test_a_shuffle_repeats_itself_and_mixes(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(3).write.parquet(f"file://{tmp_path}/t")
+    df = spark.read.parquet(f"file://{tmp_path}/t")
+    one, two = ({r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(df, shards=4, bucket_bytes=20_000).collect()} for _ in range(2))
+    other = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(df, shards=4, seed=18, bucket_bytes=20_000).collect()}
+    assert one == two != other
+    halves = collections.Counter((d < 1000, s) for d, (s, _) in one.items())
+    assert all(200 < n < 300 for n in halves.values())  # 250 on average, deviation 14
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(3)
     lengths = sorted((rng.randint(1, 99) for _ in range(500)), reverse=True)
