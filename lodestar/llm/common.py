@@ -27,7 +27,6 @@ try:
     _LIBC.malloc_trim
 except (OSError, AttributeError):  # another C library
     _LIBC = None
-_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -76,25 +75,40 @@ def goes_at_exit(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
-class freed_shuffles:
-    """While this holds, Spark drops a query's shuffle files as soon as the query ends.
+class setting:
+    """While this holds, the session has a value of a setting that queries started meanwhile take up."""
 
-    Only for queries whose result is written out: nothing may read their shuffles later.
-    """
+    key: str
+    value: str
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self):
         try:
-            self.before = self.spark.conf.get(_FILE_CLEANUP)
-            self.spark.conf.set(_FILE_CLEANUP, "true")
-        except Exception:  # a Spark without the setting frees them when they are collected
+            self.before = self.spark.conf.get(self.key)
+            self.spark.conf.set(self.key, self.value)
+        except Exception:  # a Spark without the setting does as it always does
             self.before = None
 
     def __exit__(self, *_):
         if self.before is not None:
-            self.spark.conf.set(_FILE_CLEANUP, self.before)
+            self.spark.conf.set(self.key, self.before)
+
+
+class freed_shuffles(setting):
+    """Spark drops a query's shuffle files as soon as the query ends.
+
+    Only for queries whose result is written out: nothing may read their shuffles later.
+    """
+
+    key, value = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"
+
+
+class joined_in_place(setting):
+    """Tables that are dealt by one of the columns of a join are joined without being dealt again by all of them."""
+
+    key, value = "spark.sql.requireAllClusterKeysForCoPartition", "false"
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -34,7 +34,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import freed_shuffles, goes_at_exit, parts, pick, scratch, text_bytes, written
+from lodestar.llm.common import freed_shuffles, goes_at_exit, joined_in_place, parts, pick, scratch, text_bytes, written
 
 #: Text bytes of a range of ids, on average, and buckets of a table's files.
 RANGE_BYTES = 16 << 20
@@ -174,9 +174,11 @@ def fingerprint_edits(docs: DataFrame, salts: tuple[int, ...] = SALTS, range_byt
 
     sides = F.filter(F.array(side("twice", "digest", "text", False), side("edit_twice", "edit_digest", "edit", True)), lambda x: x.isNotNull())
     shared = again.select("k", F.explode(sides).alias("s")).select("k", "s.digest", "s.edited", canonical(F.col("s.text")).alias("canon"))
-    mixed = written(impure_buckets(shared), scratch(spark, "impure"))
-    if not mixed.isEmpty():
-        told = written(shared.join(mixed, ["digest", "canon"]).select("k", "edited", F.concat(F.lit("-"), "suffix").alias("s")), scratch(spark, "told"))
+    with joined_in_place(spark):
+        mixed = written(impure_buckets(shared), scratch(spark, "impure"))
+        alike = mixed.isEmpty()
+        told = None if alike else written(shared.join(mixed, ["digest", "canon"]).select("k", "edited", F.concat(F.lit("-"), "suffix").alias("s")), scratch(spark, "told"))
+    if not alike:
         for edit, name in ((False, "digest"), (True, "edit_digest")):
             narrow = narrow.join(told.where(F.col("edited") == edit).select("k", "s"), "k", "left").withColumn(name, F.concat(name, F.coalesce("s", F.lit("")))).drop("s")
     return narrow.select("doc_id", "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.col("edit_digest").alias("edited_fingerprint"), "near_edited", "near_next")
