@@ -150,12 +150,14 @@ def worker_state(owner: str, key=None, make=None):
     return _state["kept"]
 
 
-def lean(f):
+def lean(f, owner: str | None = None):
     """f, a function of a Python worker, with other operators' state cleared before it and free memory given back after it.
 
+    owner: whose state stays, if not that of the module of f.
+
     f yields batches (mapInArrow) or takes one or two tables (applyInArrow, where Spark counts the parameters).
     """
-    owner = f.__module__
+    owner = owner or f.__module__
 
     def yielding(batches):
         worker_state(owner)

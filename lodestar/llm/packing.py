@@ -135,7 +135,7 @@ def place(pieces: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> Dat
         offset[order.to_numpy()] = offsets
         yield from table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches(max_chunksize=10_000)
 
-    return full.unionByName(rest.repartition(groups, F.xxhash64("piece")).mapInArrow(lean(run), full.schema))
+    return full.unionByName(rest.repartition(groups, F.xxhash64("piece")).mapInArrow(lean(run, library.__module__), full.schema))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_rows: int = GROUP_ROWS, ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
