@@ -134,10 +134,12 @@ class Voters:
     @staticmethod
     def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
         """The k most similar of each row, in the order of their places; among equals at the edge the first places."""
-        edge = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
-        above, equal = cosine > edge, cosine == edge
-        left = k - above.sum(axis=1, keepdims=True)
-        return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= left)))[1].reshape(-1, k)
+        edge = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k, None]
+        near = cosine >= edge
+        for i in np.flatnonzero(near.sum(axis=1) > k):  # rows with a tie at the edge
+            equal = np.flatnonzero(cosine[i] == edge[i])
+            near[i, equal[k - np.count_nonzero(cosine[i] > edge[i]) :]] = False
+        return np.nonzero(near)[1].reshape(-1, k)
 
 
 def _leading(matrix: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
