@@ -19,7 +19,7 @@ from itertools import islice
 
 #: Fixed value: the split of byte-level vocabularies.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Cached pieces per Python worker. The frequent ones come first; once it is full the rest is encoded batch by batch.
+#: Cached pieces per Python worker, those that came first. Once it is full the rest is encoded batch by batch.
 CACHE_PIECES = 300_000
 #: Longer pieces aren't kept.
 CACHE_CHARS = 64
