@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestar.functions import vectors
+from lodestar.functions import nearest, vectors
 from lodestar.functions.text import ustrip
 
 #: Types cited by sheet name.
 SHEET_TYPES = ("xlsx", "xlsm", "xls", "csv")
 #: Probes that are broadcast at a time.
 PROBE_BLOCK = 10_000
+#: Pairs of chunks and probes for a task.
+TASK_PAIRS = 250_000_000
 
 
 def pool_size(top_k: int, factor: int = 4, cap: int = 100) -> int:
@@ -36,21 +41,41 @@ def top_hits(chunks: DataFrame, probe: list[float], top_k: int | None = None, mi
 
 
 def top_hits_of_each(chunks: DataFrame, probes: DataFrame, top_k: int, key: str = "chunk_id") -> DataFrame:
-    """qid, key, score, rank for many probes (qid, probe).
-
-    The probes are a stated query set: blocks of PROBE_BLOCK of them are broadcast
-    to every chunk. Each task keeps the best of each probe before anything is shuffled.
+    """qid, key, score, rank for many probes (qid, probe), by score, then key.
+
+    The probes are a stated query set: blocks of PROBE_BLOCK of them, one after the
+    other, are gathered and broadcast to every chunk. A task multiplies its chunks
+    with a block and holds the best of each probe, so what is shuffled is top_k rows
+    of each probe and task, and memory is bounded by the sizes of a block and a batch.
+    Null, empty and zero vectors, those with a null and those of another length than
+    the probe have no score and are left out.
     """
-    unit = chunks.select(key, F.col("embedding").alias("e"), vectors.norm(F.col("embedding")).alias("n")).where("n > 0")
-    asked = probes.select("qid", F.col("probe").alias("q"), vectors.norm(F.col("probe")).alias("m")).where("m > 0")
-    blocks = max(1, -(-asked.count() // PROBE_BLOCK))
-    of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    met = reduce(DataFrame.unionByName, [unit.crossJoin(F.broadcast(asked.where(of == i) if blocks > 1 else asked)) for i in range(blocks)])
-    scored = met.select("qid", key, (vectors.dot(F.col("e"), F.col("q")) / (F.col("n") * F.col("m"))).alias("score"))
+    asked = probes.select("qid", F.col("probe").alias("q")).where("q IS NOT NULL")
+    unit = chunks.select(key, F.col("embedding").alias("e")).where("e IS NOT NULL")
+    n = asked.count()
+    blocks = max(1, -(-n // PROBE_BLOCK))
+    tasks = unit.count() * min(n, PROBE_BLOCK) // TASK_PAIRS + 1
+    if tasks > 1:
+        unit = unit.repartition(tasks, key)
+    scored = reduce(DataFrame.unionByName, [_scored(unit, asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i), top_k) for i in range(blocks)])
     by = Window.partitionBy("qid").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
 
 
+def _scored(unit: DataFrame, asked: DataFrame, top_k: int) -> DataFrame:
+    """qid, key, score: the best of each task for a block of probes (qid, q)."""
+    block = asked.toArrow()
+    shared = unit.sparkSession.sparkContext.broadcast(tuple(block[c].combine_chunks() for c in ("qid", "q")))
+    qid, key = asked.schema["qid"], unit.schema[0]
+    schema = StructType([StructField("qid", qid.dataType), StructField(key.name, key.dataType), StructField("score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in nearest.nearest(batches, *shared.value, top_k):
+            yield pa.record_batch(list(found), names=schema.names)
+
+    return unit.mapInArrow(run, schema)
+
+
 def citation(source: Column, page: Column, section: Column, file_type: Column) -> Column:
     section = F.coalesce(section, F.lit(""))
     return (
