@@ -74,7 +74,7 @@ def test_blocks_and_batches_give_the_same(monkeypatch, rows):
     assert found[0] == found[1] and len(found[0][0][0]) == 80
 
 
-@pytest.mark.parametrize("name", ["batch_knn"])
+@pytest.mark.parametrize("name", ["batch_knn", "recall_mrr"])
 def test_queries_where_scores_differ_by_rounding(spark, tmp_path, name):
     rng = random.Random(2)
     found = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(150)]
