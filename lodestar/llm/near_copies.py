@@ -2,13 +2,18 @@
 
 Candidates. A text's shingles (``words`` words, lower-cased A to Z; shorter texts
 have one, the whole sequence; texts without words have one of their own) are
-hashed with XXH3-64 and 128 multiply-shift functions each keep their smallest
-value. Texts that agree in one of 32 bands of four values meet in a shard. Sets
-with similarity s miss each other in all bands with probability (1 - s^4)^32:
-5e-8 at 0.8, whatever edit made the difference. In a shard, texts are connected
-if one bit of each of the 128 values differs in at most ``SKETCH_BITS`` places;
-this only thins out shards (similarity 0.8 is 12.8 places on average with a
-deviation of 3.4). Shards with the same members are handled once.
+hashed with XXH3-64. The text's fingerprint is the SimHash of the distinct ones,
+128 bits. Candidates are the fingerprints that BK-trees over shards link within
+``RADIUS`` bits. A bit differs with probability 0.1875 at most in two sets with a
+similarity of 0.8 or more (five shingles against four; 0.15 in large sets), so
+such a pair is beyond the radius with probability 2e-7 at most (2e-10 in large sets).
+
+Shards. So wide a radius leaves no bits of a fingerprint that must agree, as the
+blocks of ``simhash`` do for two bits. So bands of the shingles name the shards: 128
+multiply-shift functions each keep their smallest value, and texts that agree in
+one of 32 bands of four values share a shard. Sets with similarity s miss each
+other in all bands with probability (1 - s^4)^32: 5e-8 at 0.8, whatever edit made
+the difference. Shards with the same members are handled once.
 
 Links. The shingle sets of the candidates are joined to their groups and compared:
 a link is a pair whose sets' Jaccard similarity is at least 0.8 in whole numbers.
@@ -32,11 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import lean, pick, recorded, remove, scratch, written
-from lodestar.llm.simhash import SEED, _whole_shards, components
+from lodestar.llm.simhash import SEED, Forest, _whole_shards, components, voted
 
 BANDS, BAND_ROWS = 32, 4
-#: Of 128 bits: over seven deviations above the mean at similarity 0.8.
-SKETCH_BITS = 37
+#: Of 128 bits: five deviations above the largest mean at similarity 0.8.
+RADIUS = 48
 #: Members of a group that are compared at a time.
 GROUP_ROWS = 1000
 #: A band's shard with more texts is a group as it is, not thinned out by a task.
@@ -76,13 +81,20 @@ def min_values(hashes: np.ndarray) -> np.ndarray:
     return least >> np.uint64(32)
 
 
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """The SimHash of the shingles, 128 bits: the bits of the hashes, then those of the hashes mixed once more."""
+    mixed = hashes ^ hashes >> np.uint64(31)
+    for times in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        mixed = mixed * np.uint64(times)
+        mixed ^= mixed >> np.uint64(29)
+    return voted(hashes), voted(mixed)
+
+
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the bands, and 128 bits in two numbers."""
-    least = min_values(hashes)
-    raw = least.astype("<u4").reshape(BANDS, BAND_ROWS)
+    """The hashes of the bands, and the fingerprint in two numbers."""
+    raw = min_values(hashes).astype("<u4").reshape(BANDS, BAND_ROWS)
     bands = np.array([xxhash.xxh3_64_intdigest(row.tobytes(), i) for i, row in enumerate(raw)], np.uint64)
-    bits = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-    return bands, np.packbits(bits.astype(bool), bitorder="little").view("<u8")
+    return bands, np.array(fingerprint(hashes), np.uint64)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -101,41 +113,33 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "node long, key long, shards array<long>, s1 long, s2 long")
 
 
-def _connected(bits: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """The connected components of two members or more, by the distance of their sketches."""
-    left = np.arange(len(bits))
-    while len(left) > 1:
-        found, todo, left = [left[:1]], [left[0]], left[1:]
-        while todo and len(left):
-            near = np.bitwise_count(bits[left] ^ bits[todo.pop()]).sum(axis=1, dtype=np.int64) <= most
-            if near.any():
-                found.append(left[near])
-                todo += left[near].tolist()
-                left = left[~near]
-        if len(found) > 1:
-            yield np.concatenate(found)
+def families(shard: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
+    """Numbers of the components that the fingerprints (rows of two numbers) within the radius form in each shard."""
+    order = np.lexsort((prints[:, 1], prints[:, 0], shard))
+    s, p = shard[order], prints[order]
+    fresh = np.r_[True, (s[1:] != s[:-1]) | (p[1:] != p[:-1]).any(axis=1)]  # a tree has a fingerprint once
+    found = Forest(p[fresh], s[fresh]).families(radius)
+    out = np.empty(len(shard), np.int64)
+    out[order] = found[np.cumsum(fresh) - 1]
+    return out
 
 
-def candidates(prints: DataFrame, most: int = SKETCH_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """g, node: groups of nodes that may be near copies of each other. Every pair that shares a band and whose sketches are near is in a group."""
+def candidates(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """g, node: groups of nodes that may be near copies of each other. Every pair that shares a band and whose fingerprints are within the radius is in a group."""
     spark = prints.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _whole_shards(batches):
             shard, node = held["shard"].to_numpy(), held["node"].to_numpy()
             bits = np.stack([held[c].to_numpy().view(np.uint64) for c in ("s1", "s2")], axis=1)
-            starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-            size = np.diff(np.r_[starts, len(shard)])
-            two = starts[size == 2]
-            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int64) <= most]
-            g = [np.repeat(node[two] + node[two + 1], 2)]  # the sum names the set of members: nodes are hashes
-            members = [np.stack([node[two], node[two + 1]], axis=1).ravel()]
-            for at, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                for own in _connected(bits[at : at + n], most):
-                    some = node[at : at + n][own]
-                    g.append(np.repeat(some.sum(), len(some)))
-                    members.append(some)
-            yield pa.record_batch([pa.array(np.concatenate(g)), pa.array(np.concatenate(members))], names=["g", "node"])
+            family = families(shard, bits, radius)
+            order = np.argsort(family, kind="stable")
+            family, node = family[order], node[order]
+            starts = np.flatnonzero(np.r_[True, family[1:] != family[:-1]])
+            size = np.diff(np.r_[starts, len(node)])
+            g = np.repeat(np.add.reduceat(node, starts), size)  # the sum names the set of members: nodes are hashes
+            some = np.repeat(size > 1, size)
+            yield pa.record_batch([pa.array(g[some]), pa.array(node[some])], names=["g", "node"])
 
     rows = prints.select(F.explode("shards").alias("shard"), "node", "s1", "s2")
     large = written(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows).select("shard"), scratch(spark, "large"))

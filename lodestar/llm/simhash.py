@@ -48,7 +48,7 @@ TREE_ROWS = 32_768
 # -- fingerprints ---------------------------------------------------------------------------------
 
 
-def _voted(hashes: np.ndarray) -> int:
+def voted(hashes: np.ndarray) -> int:
     """Bits set in over half of the 64-bit hashes."""
     count = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
@@ -71,7 +71,7 @@ def simhash(text: str | None, words: int) -> int:
         start += len(w) + 1
     starts.append(start)
     n = len(found) - words + 1
-    return _voted(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[words:], strict=False)), "<u8", n))
+    return voted(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[words:], strict=False)), "<u8", n))
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -93,24 +93,32 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 # -- BK-trees -------------------------------------------------------------------------------------
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    differ = np.bitwise_count(a ^ b)
+    return differ.astype(np.int64) if differ.ndim == 1 else differ.sum(axis=1, dtype=np.int64)
+
+
 class Forest:
     """BK-trees over many groups at once: level by level, in whole arrays.
 
-    ``fps`` are distinct within a group and ``group`` is non-decreasing. Every
-    fingerprint is a node; ``root[g]`` is a group's first one. Children are
-    stored by (parent, distance), so the edges within a radius are one slice.
+    ``fps`` are distinct within a group and ``group`` is non-decreasing; one that
+    is longer than 64 bits is a row of several numbers. Every fingerprint is a
+    node; ``root[g]`` is a group's first one. Children are stored by (parent,
+    distance), so the edges within a radius are one slice.
     """
 
     def __init__(self, fps: np.ndarray, group: np.ndarray):
         self.fps, n = fps, len(fps)
+        self.bits = 64 if fps.ndim == 1 else 64 * fps.shape[1]
+        self.up = np.full(n, -1)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
         self.root = np.repeat(starts, np.diff(np.r_[starts, n])) if n else starts
         edges = []
         node = np.setdiff1d(np.arange(n), starts, assume_unique=True)
         parent = self.root[node]
         while len(node):
-            distance = np.bitwise_count(fps[node] ^ fps[parent]).astype(np.int64)
-            key = parent * 65 + distance
+            self.up[node] = parent
+            key = parent * (self.bits + 1) + _distance(fps[node], fps[parent])
             order = np.argsort(key, kind="stable")
             node, key = node[order], key[order]
             first = np.r_[True, key[1:] != key[:-1]]
@@ -123,28 +131,68 @@ class Forest:
         order = np.argsort(keys)
         self.keys, self.kids = keys[order], kids[order]
 
-    def search(self, queries: np.ndarray, roots: np.ndarray, radius: int, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query index, node) of all nodes within the radius, in parts."""
+    def search(self, queries: np.ndarray, roots: np.ndarray, radius: int, block: int = 4096, left: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query index, node) of all nodes within the radius, in parts.
+
+        left: how many nodes of every subtree are wanted; subtrees with none are passed over.
+        """
         for at in range(0, len(queries), block):
             stack = [(np.arange(at, min(at + block, len(queries))), roots[at : at + block])]
             while stack:
                 q, node = stack.pop()
+                if left is not None:
+                    some = left[node] > 0
+                    q, node = q[some], node[some]
                 if len(q) > 1 << 19:  # bounded memory: the two halves one after the other
                     half = len(q) // 2
                     stack += [(q[:half], node[:half]), (q[half:], node[half:])]
                     continue
-                distance = np.bitwise_count(queries[q] ^ self.fps[node]).astype(np.int64)
+                distance = _distance(queries[q], self.fps[node])
                 near = distance <= radius
                 if near.any():
                     yield q[near], node[near]
-                low = np.searchsorted(self.keys, node * 65 + np.maximum(distance - radius, 0))
-                high = np.searchsorted(self.keys, node * 65 + np.minimum(distance + radius, 64), side="right")
+                low = np.searchsorted(self.keys, node * (self.bits + 1) + np.maximum(distance - radius, 0))
+                high = np.searchsorted(self.keys, node * (self.bits + 1) + np.minimum(distance + radius, self.bits), side="right")
                 many = high - low
                 total = int(many.sum())
                 if total:
                     slot = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(total)
                     stack.append((np.repeat(q, many), self.kids[slot]))
 
+    def families(self, radius: int) -> np.ndarray:
+        """For every node a node of its component, by links within the radius.
+
+        One component of each group grows at a time, by the queries of its last
+        finds. What is found leaves the trees, so a family of copies, all near to
+        its first member, takes one search and not one for each of its pairs.
+        """
+        n = len(self.fps)
+        name, grown, left = np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
+
+        def count(nodes: np.ndarray, by: int) -> None:
+            while len(nodes):
+                np.add.at(left, nodes, by)
+                nodes = self.up[nodes]
+                nodes = nodes[nodes >= 0]
+
+        count(np.arange(n), 1)
+        open_ = np.arange(n)
+        while len(open_):
+            new = open_[np.r_[True, self.root[open_][1:] != self.root[open_][:-1]]]  # the first of each group
+            grown[self.root[new]] = new
+            name[new] = new
+            count(new, -1)
+            while len(new):
+                found = []
+                for _, node in self.search(self.fps[new], self.root[new], radius, left=left):
+                    node = np.unique(node[name[node] < 0])
+                    name[node] = grown[self.root[node]]
+                    count(node, -1)
+                    found.append(node)
+                new = np.concatenate(found) if found else new[:0]
+            open_ = open_[name[open_] < 0]
+        return name
+
 
 class Union:
     def __init__(self, n: int):
