@@ -1,9 +1,10 @@
 """The best vectors for many probes: matrix products in Arrow batches.
 
-A product of two blocks (double precision, vectors of length one) only tells which
-pairs may be among a probe's best. These are scored again by one dot product each,
-summed from the first element on, over the root of the product of the two sums of
-squares, so a score depends on its two vectors alone and equal vectors tie exactly.
+A product of two blocks (single precision, vectors of length one; double where that
+leaves many pairs) only tells which pairs may be among a probe's best. These are
+scored again by one dot product each, summed from the first element on, over the root
+of the product of the two sums of squares, so a score depends on its two vectors alone
+and equal vectors tie exactly.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Numbers of a batch's vectors that are held at a time, and sides of a block of products.
-HELD_NUMBERS, PROBE_SIDE, ROW_SIDE = 1 << 20, 512, 1024
-#: Pairs that are scored again at a time.
-PAIRS = 1 << 14
+HELD_NUMBERS, PROBE_SIDE, ROW_SIDE = 1 << 20, 256, 1024
+#: Pairs that are scored again at a time, and pairs that wait for it at least before lists and floors are brought up to date.
+PAIRS, WAITING = 1 << 11, 1 << 16
+#: A block of which single precision leaves more than one pair in so many is multiplied again in double precision.
+DENSE = 16
 #: Sums of squares outside of this are no base of an estimate: such vectors are always scored in full.
 LEAST, MOST = 1e-140, 1e140
 
@@ -48,14 +51,15 @@ class Side:
         self.places, self.elements, self.squares = places[some], elements[some], squares[some]
         sound = (self.squares > LEAST) & (self.squares < MOST)
         self.units = self.elements / np.sqrt(np.where(sound, self.squares, np.nan))[:, None]
+        self.coarse = self.units.astype(np.float32)
 
     def only(self, kept: np.ndarray) -> None:
-        self.places, self.elements, self.squares, self.units = self.places[kept], self.elements[kept], self.squares[kept], self.units[kept]
+        self.places, self.elements, self.squares, self.units, self.coarse = (x[kept] for x in (self.places, self.elements, self.squares, self.units, self.coarse))
 
 
 def _best(probe: np.ndarray, score: np.ndarray, order: np.ndarray, top_k: int) -> np.ndarray:
     """The places of each probe's first ``top_k``, by score (not a number is the greatest), then order."""
-    by = np.lexsort((order, -np.where(np.isnan(score), np.inf, score), ~np.isnan(score), probe))
+    by = np.lexsort((order, -np.where(np.isnan(score), np.inf, score), probe))  # no score is infinite
     starts = np.flatnonzero(np.r_[True, probe[by][1:] != probe[by][:-1]]) if len(by) else np.zeros(0, np.int64)
     nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
     return by[nth < top_k]
@@ -73,6 +77,8 @@ class Nearest:
         n = len(self.asked.places)
         self.floor = np.full(n, -np.inf)  # an estimate below it can't be among the best
         self.margin = 1e-15 * (4 * width + 16)  # over twice the largest error of an estimate and a score
+        self.wide = 2.0**-23 * (width + 4)  # over the largest error of an estimate in single precision
+        self.made = np.empty(PROBE_SIDE * ROW_SIDE, np.float32)
         self.probe, self.score, self.keys = np.zeros(0, np.int64), np.zeros(0), None
 
     def see(self, keys: pa.Array, column: pa.Array) -> None:
@@ -87,21 +93,36 @@ class Nearest:
         order = _ranks(keys.take(pa.array(rows.places)))
         _, same = np.unique(np.ascontiguousarray(rows.elements).view(f"V{8 * self.width}").ravel(), return_inverse=True)
         rows.only(np.sort(_best(same.ravel(), np.zeros(len(same)), order, self.top_k)))  # of equal vectors the first keys come before all others
-        found = [self._block(a, b, rows) for b in range(0, len(rows.places), ROW_SIDE) for a in range(0, len(self.asked.places), PROBE_SIDE)]
-        probe, row = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        if len(probe):
-            self._merge(probe, self._scores(probe, row, rows), keys.take(pa.array(rows.places[row])))
+        found, waiting = [], 0
+        for b in range(0, len(rows.places), ROW_SIDE):
+            for a in range(0, len(self.asked.places), PROBE_SIDE):
+                found.append(self._block(a, b, rows))
+                waiting += len(found[-1][0])
+                if waiting >= max(WAITING, self.top_k * len(self.floor)):
+                    self._take(found, keys, rows)
+                    found, waiting = [], 0
+        if waiting:
+            self._take(found, keys, rows)
 
     def _block(self, a: int, b: int, rows: Side) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a block that may be among the best."""
-        made = self.asked.units[a : a + PROBE_SIDE] @ rows.units[b : b + ROW_SIDE].T
-        floor = self.floor[a : a + PROBE_SIDE]
+        probes, others, floor = self.asked.coarse[a : a + PROBE_SIDE], rows.coarse[b : b + ROW_SIDE], self.floor[a : a + PROBE_SIDE]
+        made = np.matmul(probes, others.T, out=self.made[: len(probes) * len(others)].reshape(len(probes), len(others)))
         fresh = np.flatnonzero(floor == -np.inf)
-        if len(fresh) and made.shape[1] >= self.top_k:
-            kth = np.partition(made[fresh], made.shape[1] - self.top_k, axis=1)[:, made.shape[1] - self.top_k]
-            floor[fresh] = np.where(np.isnan(kth), -np.inf, kth - self.margin)  # not a number sorts last
-        probe, row = np.nonzero(~(made < floor[:, None]))
-        return probe + a, row + b
+        if len(fresh) and len(others) >= self.top_k:
+            known = np.where(np.isnan(made[fresh]), -np.inf, made[fresh])  # what can't be estimated may score anything
+            floor[fresh] = np.partition(known, len(others) - self.top_k, axis=1)[:, len(others) - self.top_k].astype(np.float64) - self.wide - self.margin
+        low = np.nextafter((floor - self.wide).astype(np.float32), np.float32(-np.inf))
+        some = np.flatnonzero(~(made.max(axis=1) < low))  # most probes have none; the greatest is no number if one is none
+        kept = ~(made[some] < low[some, None])
+        if np.count_nonzero(kept) > made.size // DENSE:
+            kept &= ~(self.asked.units[a : a + PROBE_SIDE][some] @ rows.units[b : b + ROW_SIDE].T < floor[some, None])
+        probe, row = np.divmod(np.flatnonzero(kept), len(others))
+        return some[probe] + a, row + b
+
+    def _take(self, found: list[tuple[np.ndarray, np.ndarray]], keys: pa.Array, rows: Side) -> None:
+        probe, row = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        self._merge(probe, self._scores(probe, row, rows), keys.take(pa.array(rows.places[row])))
 
     def _scores(self, probe: np.ndarray, row: np.ndarray, rows: Side) -> np.ndarray:
         out = np.empty(len(probe))

@@ -85,3 +85,56 @@ def test_queries_where_scores_differ_by_rounding(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert compare.rows_of_spark(catalogue.QUERIES[name](spark, str(tmp_path))) == compare.rows_of_sql(con, catalogue.ORACLES[name])
+
+
+def plain(keys, rows, probes, top_k):
+    """key and score of the best of each probe, all pairs scored in turn."""
+    import numpy as np
+
+    squares, best = np.cumsum(rows * rows, axis=1)[:, -1], {}
+    for i, q in enumerate(probes):
+        with np.errstate(all="ignore"):
+            score = np.clip(np.cumsum(rows * q, axis=1)[:, -1] / np.sqrt(squares * np.cumsum(q * q)[-1]), -1.0, 1.0)
+        by = np.lexsort((keys, -np.where(np.isnan(score), np.inf, score)))[:top_k]
+        best[i] = [(int(keys[j]), repr(float(score[j]))) for j in by]
+    return best
+
+
+def found_by_blocks(keys, rows, probes, top_k, size=3000):
+    import pyarrow as pa
+
+    column = pa.array(list(rows), pa.list_(pa.float64()))
+    batches = [pa.record_batch([pa.array(keys[a : a + size]), column[a : a + size]], names=["k", "e"]) for a in range(0, len(keys), size)]
+    got = {}
+    for q, k, s in nearest.nearest(iter(batches), pa.array(range(len(probes))), pa.array(list(probes), pa.list_(pa.float64())), top_k):
+        for i, key, score in zip(q.to_pylist(), k.to_pylist(), s.to_pylist(), strict=True):
+            got.setdefault(i, []).append((key, repr(score)))
+    return got
+
+
+@pytest.mark.parametrize("near", [1e-3, 1e-6, 1e-9, 1e-16])
+def test_scores_nearer_than_single_precision(near):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=16)
+    rows = np.concatenate([one + near * rng.normal(size=(4000, 16)), rng.normal(size=(3000, 16)), one * rng.uniform(0.1, 9, (500, 1))])
+    rng.shuffle(rows)
+    keys, probes = rng.permutation(len(rows)), np.concatenate([rows[:30], [one, one * 1e-90, one * 1e90, np.full(16, np.nan), one * 1e-30]])
+    rows[5], rows[6], rows[7, 3] = one * 1e-80, one * 1e85, np.inf
+    assert found_by_blocks(keys, rows, probes, 7) == plain(keys, rows, probes, 7)
+
+
+def test_floors_rise_while_a_batch_is_seen(monkeypatch):
+    """Few pairs are scored again, and few wait for it at a time, also where no estimate can be made."""
+    import numpy as np
+
+    rng, scored, own = np.random.default_rng(4), [], nearest.Nearest._scores
+    monkeypatch.setattr(nearest.Nearest, "_scores", lambda self, p, r, rows: scored.append(len(p)) or own(self, p, r, rows))
+    rows, probes = rng.normal(size=(20_000, 8)), rng.normal(size=(4_000, 8))
+    keys = np.arange(len(rows))
+    got = found_by_blocks(keys, rows, probes, 5, size=len(rows))
+    assert sum(scored) < 250_000 and {i: got[i] for i in range(20)} == plain(keys, rows, probes[:20], 5)
+    scored.clear()
+    assert found_by_blocks(keys, rows, probes[:100] * 1e-90, 5, size=len(rows)).keys() == set(range(100))
+    assert max(scored) < 500_000
