@@ -55,8 +55,10 @@ def top_hits_of_each(chunks: DataFrame, probes: DataFrame, top_k: int, key: str
     n = asked.count()
     blocks = max(1, -(-n // PROBE_BLOCK))
     tasks, slots = unit.count() * min(n, PROBE_BLOCK) // TASK_PAIRS + 1, chunks.sparkSession.sparkContext.defaultParallelism
+    if tasks > slots:
+        tasks = -(-tasks // slots) * slots  # no core waits for the last ones
     if tasks > 1:
-        unit = unit.repartition(-(-tasks // slots) * slots, key)  # no core waits for the last ones
+        unit = unit.repartition(tasks, key)
     scored = reduce(DataFrame.unionByName, [_scored(unit, asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i), top_k) for i in range(blocks)])
     by = Window.partitionBy("qid").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
